@@ -6,21 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kumiki.llm.decontaminate import decontaminate
 from kumiki.llm.exact_dedup import exact_dedup
 from kumiki.llm.shared import table
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {"op5_decontaminate": op5_decontaminate, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     norm = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ws = f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return {
+        "op5_decontaminate": f"""
+            WITH d AS (SELECT doc_id, {ws} AS w FROM documents),
+            i AS (SELECT CAST(item_id AS VARCHAR) AS item, {ws} AS w FROM benchmark),
+            iw AS (SELECT DISTINCT item, len(w[s:s + 9]) AS n, array_to_string(w[s:s + 9], ' ') AS t
+                   FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM i WHERE len(w) > 0)),
+            ns AS (SELECT DISTINCT n FROM iw),
+            dw AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS t
+                   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, ns)),
+            h AS (SELECT doc_id, s, n, item FROM dw JOIN iw USING (n, t)),
+            p AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                  FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+            q AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+                   coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+                   coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN q ON d.doc_id = q.doc_id""",
         "op10_exact_dedup": f"""
             WITH n AS (SELECT doc_id, {norm} AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
