@@ -6,21 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kumiki.llm.bpe import bpe
 from kumiki.llm.decontaminate import decontaminate
 from kumiki.llm.exact_dedup import exact_dedup
-from kumiki.llm.shared import table
+from kumiki.llm.shared import new_path, table
+from kumiki.llm.token_files import read_token_files, write_token_files
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "words", outputs=out)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, folder)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_decontaminate": op5_decontaminate, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_bpe": op1_bpe,
+        "op5_decontaminate": op5_decontaminate,
+        "op7_token_files": op7_token_files,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
