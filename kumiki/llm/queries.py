@@ -10,6 +10,7 @@ from kumiki.llm.bpe import bpe
 from kumiki.llm.decontaminate import decontaminate
 from kumiki.llm.exact_dedup import exact_dedup
 from kumiki.llm.shared import new_path, table
+from kumiki.llm.substring_dedup import substring_dedup
 from kumiki.llm.token_files import read_token_files, write_token_files
 
 
@@ -35,6 +36,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op5_decontaminate": op5_decontaminate,
         "op7_token_files": op7_token_files,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
@@ -70,6 +76,18 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                    coalesce(n_hit, 0) > 0 AS contaminated
             FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN q ON d.doc_id = q.doc_id""",
+        "op8_substring_dedup": """
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+            s AS (SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS t
+                  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+            r AS (SELECT doc_id, s FROM s JOIN (SELECT t FROM s GROUP BY t HAVING count(*) > 1) USING (t)),
+            g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM r),
+            k AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+            x AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.p) AS kept, count(*) AS n
+                  FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.p = g.p WHERE g.p IS NULL GROUP BY k.doc_id)
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+                   sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN x ON d.doc_id = x.doc_id""",
         "op10_exact_dedup": f"""
             WITH n AS (SELECT doc_id, {norm} AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """Lets the cleaner drop shuffle files of plans that are no longer held, so that disk use stays low."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def bounded(df: DataFrame, max_rows: int = 400_000) -> DataFrame:
     """df with a broadcast hint if it has max_rows rows at most; beyond that it stays as it is and the join shuffles."""
     return F.broadcast(df) if df.count() <= max_rows else df
