@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kumiki.llm.bpe import bpe
 from kumiki.llm.decontaminate import decontaminate
 from kumiki.llm.exact_dedup import exact_dedup
+from kumiki.llm.jaccard_join import jaccard_components
 from kumiki.llm.shared import new_path, table
 from kumiki.llm.substring_dedup import substring_dedup
 from kumiki.llm.token_files import read_token_files, write_token_files
@@ -40,6 +41,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op7_token_files": op7_token_files,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
