@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kumiki.llm.bpe import bpe
 from kumiki.llm.decontaminate import decontaminate
 from kumiki.llm.exact_dedup import exact_dedup
 from kumiki.llm.jaccard_join import jaccard_components
+from kumiki.llm.langid import identify
 from kumiki.llm.shared import new_path, table
 from kumiki.llm.substring_dedup import substring_dedup
 from kumiki.llm.token_files import read_token_files, write_token_files
+from kumiki.llm.toxicity import toxicity, with_categories
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,10 +30,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "words", outputs=out)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    return identify(table(spark, sf_dir, "documents"), learn=part != 2, flag=part == 2)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), with_categories(table(spark, sf_dir, "labels")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end_id=2)
@@ -52,7 +64,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_langid": op3_langid,
         "op5_decontaminate": op5_decontaminate,
+        "op6_toxicity": op6_toxicity,
         "op7_token_files": op7_token_files,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_jaccard_join": op9_jaccard_join,
