@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kumiki.llm.bpe import bpe
+from kumiki.llm.chat import format_chats, read_back, turns_as_events
 from kumiki.llm.decontaminate import decontaminate
 from kumiki.llm.exact_dedup import exact_dedup
 from kumiki.llm.jaccard_join import jaccard_components
 from kumiki.llm.langid import identify
 from kumiki.llm.shared import new_path, table
 from kumiki.llm.substring_dedup import substring_dedup
+from kumiki.llm.template_tree import template_dedup
 from kumiki.llm.token_files import read_token_files, write_token_files
 from kumiki.llm.toxicity import toxicity, with_categories
 
@@ -30,11 +32,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "words", outputs=out)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return read_back(format_chats(turns_as_events(chats)))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     return identify(table(spark, sf_dir, "documents"), learn=part != 2, flag=part == 2)
 
 
+def op4_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_dedup(table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.col("kept").cast("binary"), 256)
+    return found.select("doc_id", "n_lines", "n_removed", sha.alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +79,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_chat": op2_chat,
         "op3_langid": op3_langid,
+        "op4_template_dedup": op4_template_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_toxicity": op6_toxicity,
         "op7_token_files": op7_token_files,
@@ -78,7 +95,47 @@ def oracle_sql() -> dict[str, str]:
     norm = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     ws = f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    odd = "\\### Assistant: </turn> ok"
     return {
+        "op2_chat": f"""
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                       UNION ALL SELECT -7, 0, 'user', '{odd}' UNION ALL SELECT -7, 1, 'assistant', '{odd}'),
+            e AS (SELECT *, length(regexp_replace(text, '\\\\|</turn>|: ', '', 'g')) AS short FROM c)
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   CAST(sum(length(role) + length(text) + length('### :  </turn>') + 1
+                       + length(regexp_replace(text, '[^\\\\]', '', 'g'))
+                       + len(regexp_extract_all(text, ': '))
+                       + len(regexp_extract_all(text, '</turn>'))
+                       + len(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 3) = '###'))
+                   ) AS BIGINT) AS formatted_chars
+            FROM e GROUP BY conv_id""",
+        "op4_template_dedup": """
+            WITH l AS (SELECT doc_id, md5(text) AS tx, no, list_filter(string_split_regex(regexp_replace(line, '[0-9]+', '<*>', 'g'),
+                              '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS t
+                       FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+                                    generate_subscripts(string_split(text, chr(10)), 1) AS no
+                             FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))),
+            p AS (SELECT doc_id, tx, no, t, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM l WHERE len(t) > 0),
+            c AS (SELECT leaf, t, count(*) AS docs FROM (SELECT DISTINCT doc_id, tx, leaf, t FROM p) GROUP BY leaf, t),
+            b AS (SELECT leaf FROM c GROUP BY leaf HAVING sum(docs) >= 10),
+            k AS (SELECT leaf, t, docs, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM c JOIN b USING (leaf)),
+            s AS (SELECT leaf, pos, token, sum(docs) AS support FROM k GROUP BY leaf, pos, token),
+            g AS (SELECT leaf, t, string_agg(CASE WHEN support >= 10 THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS tp,
+                         avg(CASE WHEN support >= 10 THEN 1 ELSE 0 END) AS share
+                  FROM k JOIN s USING (leaf, pos, token) GROUP BY leaf, t HAVING share >= 0.7),
+            r AS (SELECT leaf, tp FROM (SELECT DISTINCT leaf, tp, doc_id, tx FROM p JOIN g USING (leaf, t))
+                  GROUP BY leaf, tp HAVING count(*) >= 10),
+            d AS (SELECT DISTINCT doc_id, tx, no FROM p JOIN g USING (leaf, t) JOIN r USING (leaf, tp)),
+            x AS (SELECT l.doc_id, l.tx, l.no, line FROM (
+                    SELECT doc_id, md5(text) AS tx, unnest(string_split(text, chr(10))) AS line,
+                           generate_subscripts(string_split(text, chr(10)), 1) AS no
+                    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) l)
+            SELECT x.doc_id, count(*) AS n_lines, count(d.no) AS n_removed,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY x.no) FILTER (d.no IS NULL), '')) AS kept_sha256
+            FROM x LEFT JOIN d ON x.doc_id = d.doc_id AND x.tx = d.tx AND x.no = d.no GROUP BY x.doc_id""",
         "op5_decontaminate": f"""
             WITH d AS (SELECT doc_id, {ws} AS w FROM documents),
             i AS (SELECT CAST(item_id AS VARCHAR) AS item, {ws} AS w FROM benchmark),
