@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kumiki.llm.lexicon import Lexicon, build
-from kumiki.llm.pretokens import CHUNK_CHARS, GAP, Encoder, classify, known, span_hashes, spans
+from kumiki.llm.pretokens import CHUNK_CHARS, GAP, Encoder, classify, lowered, span_hashes, spans
 from kumiki.llm.shared import small_batches
 
 #: Words that are compiled; pieces that a task counts at once, and those that it hands on.
@@ -60,8 +60,8 @@ def count_pieces(batches, rule: str):
         texts: list[str] = []
         size = 0
         for text in batch.column(0).to_pylist():
-            if text and known(text):
-                texts.append(text.lower() if rule == "words" else text)
+            if text:
+                texts.append(lowered(text) if rule == "words" else text)
                 size += len(text)
                 if size > CHUNK_CHARS:
                     take(texts)

@@ -22,6 +22,7 @@ LATIN_END, PUNCT_BEGIN, PUNCT_END = 0x180, 0x2010, 0x205F
 CHUNK_CHARS = 1 << 18
 #: Pieces of which a worker remembers the ids; beyond that it begins anew.
 CACHE_PIECES = 600_000
+FRONT_BITS = 20
 
 
 @cache
@@ -96,6 +97,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.slots: dict[int, int] = {}
+        # A direct-mapped front of the slots, looked up for all pieces at once; the latest piece of a place wins.
+        self.front_key, self.front_slot = np.zeros(1 << FRONT_BITS, U), np.zeros(1 << FRONT_BITS, np.int32)
         self.first, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.used = 0
 
@@ -125,10 +128,37 @@ class Encoder:
         self.used += total
         self.slots.update(zip(hashes, range(at, at + n), strict=True))
 
+    def _slots(self, joined: str, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        if len(self.slots) > CACHE_PIECES:
+            self.clear()
+        place = (hashes >> U(64 - FRONT_BITS)).astype(np.int64)
+        slot = self.front_slot[place].astype(np.int64)
+        miss = np.flatnonzero(self.front_key[place] != hashes)
+        if not len(miss):
+            return slot
+        distinct, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.slots]
+        if new:
+            at = miss[where[new]]
+            b, e = begin[at].tolist(), end[at].tolist()
+            self._learn([keys[i] for i in new], [joined[x:y] for x, y in zip(b, e, strict=True)])
+        found = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        slot[miss] = found[back]
+        front = place[miss[where]]
+        self.front_key[front], self.front_slot[front] = distinct, found
+        return slot
+
     def _fast(self, texts: list[str]) -> list[np.ndarray]:
         joined = "\0".join(texts)
         cps, cls = classify(joined)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        strange = np.flatnonzero(cls == UNKNOWN)
+        if len(strange):
+            own = np.zeros(len(texts), bool)
+            own[np.searchsorted(np.cumsum(sizes), strange, side="right")] = True
+            plain = iter(self._fast([t for t, o in zip(texts, own, strict=True) if not o]) if not own.all() else ())
+            return [None if o else next(plain) for o in own]
         gaps = np.cumsum(sizes)[:-1] - 1
         if len(gaps):
             cls = cls.copy()
@@ -136,15 +166,7 @@ class Encoder:
         if not len(cps):
             return [np.zeros(0, np.uint32) for _ in texts]
         begin, end = spans(cps, cls, self.rule)
-        distinct, where, back = np.unique(span_hashes(cps, begin, end), return_index=True, return_inverse=True)
-        if len(self.slots) > CACHE_PIECES:
-            self.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slots]
-        if new:
-            b, e = begin[where[new]].tolist(), end[where[new]].tolist()
-            self._learn([keys[i] for i in new], [joined[x:y] for x, y in zip(b, e, strict=True)])
-        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))[back]
+        slot = self._slots(joined, begin, end, span_hashes(cps, begin, end))
         first, size = self.first[slot], self.size[slot]
         ends = np.cumsum(size)
         ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)]
@@ -152,6 +174,9 @@ class Encoder:
         edges = np.append(0, ends)[cut]
         return [ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         group: list[str] = []
@@ -161,18 +186,19 @@ class Encoder:
         def flush() -> None:
             nonlocal group, at, held
             for i, ids in zip(at, self._fast(group), strict=True):
-                out[i] = ids
+                out[i] = self.whole(texts[i]) if ids is None else ids
             group, at, held = [], [], 0
 
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if any(s in text for s in self.special) or not known(text):
-                out[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+            if any(s in text for s in self.special):
+                out[i] = self.whole(text)
                 continue
             if group and held + len(text) > CHUNK_CHARS:
                 flush()
-            group.append(text.lower() if self.rule == "words" else text)
+            # Lower case keeps the length of every text that the fast way knows.
+            group.append(text if self.rule == "pieces" else text.lower() if text.isascii() else lowered(text))
             at.append(i)
             held += len(text)
         if group:
@@ -180,5 +206,19 @@ class Encoder:
         return out
 
 
-def known(text: str) -> bool:
-    return text.isascii() or not (classify(text)[1] == UNKNOWN).any()
+@cache
+def strange_case() -> frozenset[str]:
+    """Characters that the fast way doesn't know but whose lower case it does."""
+    table = classes()
+
+    def kind(c: str) -> int:
+        return table[min(ord(c), PUNCT_END)]
+
+    return frozenset(
+        c for c in map(chr, range(0x3000)) if kind(c) == UNKNOWN and all(kind(x) != UNKNOWN for x in c.lower())
+    )
+
+
+def lowered(text: str) -> str:
+    """Lower case, unless that would hide a character that the fast way doesn't know."""
+    return text if strange_case().intersection(text) else text.lower()
