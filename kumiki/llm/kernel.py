@@ -18,7 +18,7 @@ _B = U(0x9E3779B97F4A7C15)  # odd, 5 modulo 8: prefix sums can be shifted back b
 _W = U(0xD1342543DE82EF95)
 
 #: Bytes of text that are looked at in one go; a longer text is one go of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
