@@ -87,8 +87,8 @@ def sentences(text: Column) -> Column:
 
     An ASCII full stop ends a sentence before white space only, and not after a digit.
     """
-    marked = F.regexp_replace(text, "([。！？!?]+[」』）)\"']*|(?<![0-9])\\.(?=\\s|$)|\\n)", "$1\\x{0}")
-    return F.filter(F.transform(F.split(marked, "\\x{0}"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: s != "")
+    marked = F.regexp_replace(text, "([。！？!?]+[」』）)\"']*|(?<![0-9])\\.(?=\\s|$)|\\n)", "$1\u0001")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: s != "")
 
 
 def is_heading(line: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kumiki.plans import registry, retrieval  # noqa: F401
+from kumiki.plans import registry, retrieval, texts  # noqa: F401
 
 FLAGSHIP = "bm25_topk"
 
