@@ -37,6 +37,8 @@ def sql_values(names: str, rows: list[tuple]) -> str:
             return "NULL"
         if isinstance(v, bool):
             return str(v).upper()
-        return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+        if isinstance(v, float):
+            return f"{v!r}::DOUBLE"
+        return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS v({names}))"
