@@ -228,14 +228,17 @@ def substring_dedup(
     aside = role.join(bounded(lead), "id", "left").select("id", "tx", (F.col("tx") == F.col("lead_tx")).alias("leads"))
     aside = released(written(aside.withColumn("leads", F.coalesce("leads", F.lit(False))), "aside"))
 
+    # Copies go first, so that a large group of them isn't a hot key; written, the fingerprints leave the join free to
+    # split the one of a very common passage.
+    repeated = written(index.repeated(), "repeated")
     spots = (
         rows.filter("sha IS NULL")
         .select("id", "tx", F.col("n").cast("int").alias("at"), "fp")
-        .join(index.repeated(), "fp", "left_semi")
+        .join(bounded(written(aside.filter("NOT leads").select("id", "tx"), "copies")), ["id", "tx"], "left_anti")
+        .join(repeated, "fp", "left_semi")
         .groupBy("id", "tx")
         .agg(F.collect_set("at").alias("spots"))
-        .join(bounded(aside), ["id", "tx"], "left")
-        .filter("leads IS NULL OR leads")
+        .join(bounded(written(aside.filter("leads"), "leads")), ["id", "tx"], "left")
         .select("id", "tx", "spots", F.when(F.col("leads"), 2).otherwise(1).alias("weight"))
     )
     spots = released(written(spots, "spots"))
