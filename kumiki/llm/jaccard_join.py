@@ -1,10 +1,12 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Tokens are the hashes of a document's distinct word shingles. Those that many documents share form the frequent class,
-kept as a table of bounded size; all others are rare. In the global order rare tokens come first (by hash), then
-frequent ones by their count. A pair over the threshold shares all but ``e`` tokens of the smaller prefix, so
+Tokens are the hashes of a document's distinct word shingles. Those that documents share form the frequent class, kept
+as a table of bounded size (the most frequent ones); all others are rare. In the global order rare tokens come first
+(by hash), then frequent ones by their count. A pair over the threshold shares all but ``e`` tokens of the smaller
+prefix. Prefixes are a quarter longer than that needs, so a pair shares ``l = 1 + e // 4`` signatures at least, which
+keeps apart documents that have a passage in common and no more:
 
-- a document with enough rare tokens is indexed under its first ``e + 1``, each alone;
+- a document with enough rare tokens is indexed under its first ``e + l``, each alone;
 - otherwise the prefix is extended: frequent tokens fall into classes by their hash, and each class is indexed under
   the combinations of two of its tokens. A class of ``b`` tokens makes up for ``b - 1`` of those needed. The number of
   classes follows the size of the set, so that combinations stay about in proportion to the prefix; sets near a
@@ -27,10 +29,12 @@ from kumiki.llm.components import components
 from kumiki.llm.kernel import FOLD, U, splitmix, texts_of, window_hashes, windows_per_text, word_hashes, words
 from kumiki.llm.shared import bounded, released, small_batches, written
 
-#: The frequent class: tokens of at least so many documents, and no more of them than this.
-FREQUENT_DOCS, FREQUENT_TOKENS = 48, 1 << 18
+#: The frequent class: tokens of at least so many documents by the blocks' reports, and no more of them than this.
+FREQUENT_DOCS, FREQUENT_TOKENS = 4, 1 << 21
 #: Tokens that are counted in one go, and the count below which a block doesn't report a token.
-BLOCK_TOKENS, BLOCK_COUNT = 2_000_000, 4
+BLOCK_TOKENS, BLOCK_COUNT = 4_000_000, 2
+#: A prefix is longer than needed by one part in so many of the tokens that a pair may lack.
+SPARE = 4
 #: Frequent tokens to a class, about.
 CLASS_TOKENS = 4
 
@@ -93,13 +97,14 @@ class Prefixes:
     def __init__(self, percent: int, frequent: np.ndarray):
         self.percent = percent
         order = np.argsort(frequent)
-        self.known, self.rank = frequent[order], order
+        self.known, self.rank = frequent[order], order.astype(np.int32)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         n, p = len(tokens), self.percent
         if not n or 100 * n // p == n:  # only an equal set can be linked
             return np.zeros(0, U)
-        needed = n - (p * n + 99) // 100 + 1
+        lacking = n - (p * n + 99) // 100
+        needed = lacking + 1 + lacking // SPARE
         at = np.minimum(np.searchsorted(self.known, tokens), max(0, len(self.known) - 1))
         frequent = self.known[at] == tokens if len(self.known) else np.zeros(n, bool)
         rare = tokens[~frequent][:needed]
@@ -167,6 +172,21 @@ def linked_rows(batches, percent: int):
         yield pa.record_batch([out.column(0), out.column(1)], ["a", "b"])
 
 
+def most_frequent(counts: DataFrame) -> np.ndarray:
+    """The tokens of counts (hi, n) above the smallest count that leaves FREQUENT_TOKENS at most, in ascending order."""
+    least, held = None, 0
+    for n, many in sorted((r["m"], r["count"]) for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("m")).count().collect())[::-1]:
+        held += many
+        if held > FREQUENT_TOKENS:
+            break
+        least = n
+    if least is None:
+        return np.zeros(0, U)
+    top = counts.filter(F.col("n") >= least).toArrow()
+    token, n = top["hi"].to_numpy().astype(U), top["n"].to_numpy()
+    return token[np.lexsort((token, n))]
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -189,9 +209,7 @@ def jaccard_components(
     rows = written(rows, "sets")
     per_doc = rows.filter("lo IS NOT NULL")
     counts = rows.filter("lo IS NULL").groupBy("hi").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_DOCS)
-    top = counts.orderBy(F.desc("n"), "hi").limit(FREQUENT_TOKENS).toPandas()  # a table of bounded size
-    frequent = top["hi"].to_numpy(np.int64).astype(U)[::-1].copy()
-    prefixes = spark.sparkContext.broadcast(Prefixes(percent, frequent))
+    prefixes = spark.sparkContext.broadcast(Prefixes(percent, most_frequent(written(counts, "frequent"))))
 
     some = per_doc.filter("id IS NOT NULL AND n > 0")
     classes = written(some.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep")), "classes")
@@ -212,26 +230,27 @@ def jaccard_components(
     )
     members = released(written(members, "members"))
     sizes = classes.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n"))
+    n = F.least("na", "nb")
+    lacking = n - F.floor((percent * n + 99) / 100)
+    sized = written(sizes, "sizes")
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, count) whose sizes allow the threshold and that share the signatures that it needs."""
+        x = sized.select(F.col("id").alias("a"), F.col("n").alias("na"))
+        y = sized.select(F.col("id").alias("b"), F.col("n").alias("nb"))
+        near = pairs.join(x, "a").join(y, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return near.filter(F.col("count") >= 1 + F.floor(lacking / SPARE)).drop("na", "nb")
+
     star = members.filter("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).count()
-    star = written(star, "star")
-    busy = star.select("a").unionByName(star.select(F.col("b").alias("a"))).distinct()
-    busy = bounded(written(busy.withColumnRenamed("a", "id"), "busy"))
-    sets = base.join(busy, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(
-        lambda it: token_rows(it, k), "id long, tokens binary"
-    )
-    sets = released(written(sets, "tokens"))
-    sized = sizes.join(busy, "id", "left_semi")
-    sized = bounded(written(sized, "sizes"))
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the threshold."""
-        x, y = sized.select(F.col("id").alias("a"), F.col("n").alias("na")), sized.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-        return (
-            pairs.join(x, "a").join(y, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).drop("na", "nb")
-        )
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = fitting(pairs.select("a", "b"))
+    star = written(enough(star), "star")
+    def token_table(pairs: DataFrame) -> DataFrame:
+        """The sets of the documents in pairs."""
+        busy = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        busy = bounded(written(busy, "busy"))
+        found = base.join(busy, "id", "left_semi").dropDuplicates(["id"])
+        return released(written(found.mapInArrow(lambda it: token_rows(it, k), "id long, tokens binary"), "tokens"))
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         both = with_x.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
         return both.mapInArrow(lambda it: linked_rows(it, percent), "a long, b long")
@@ -248,11 +267,12 @@ def jaccard_components(
     # 1: each document and the leader with which it shares most signatures.
     best = star.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
     best = written(best, "best")
-    edges = written(linked(best), "links")
+    sets = token_table(star)
+    edges = written(linked(best, sets), "links")
     labels = labelled(edges)
     # 2: its other leaders, where they lie in other components.
     rest = apart(star.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
-    more = written(linked(rest), "links")
+    more = written(linked(rest, sets), "links")
     if not more.isEmpty():
         edges = edges.unionByName(more)
         labels = labelled(edges)
@@ -261,18 +281,17 @@ def jaccard_components(
     named = written(named.select("sig", "id", F.coalesce("label", "id").alias("label")), "named")
     mixed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
     open_ = written(named.join(mixed, "sig", "left_semi").join(sized, "id"), "open")
-    left, right = open_.select("sig", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na")), open_.select(
-        "sig", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb")
-    )
+    left = open_.select("sig", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    right = open_.select("sig", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    apart_ = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))
+    crossing = enough(left.join(right, "sig").filter(apart_ & fits).groupBy("a", "b").count())
     crossing = (
-        left.join(right, "sig")
-        .filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")))
-        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .select("a", "b")
-        .distinct()
+        crossing.select("a", "b")
         .join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = written(linked(crossing), "links")
+    crossing = written(crossing, "crossing")
+    more = written(linked(crossing, token_table(crossing)), "links")
     if not more.isEmpty():
         labels = labelled(edges.unionByName(more))
 
