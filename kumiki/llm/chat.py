@@ -60,6 +60,7 @@ def turns_as_events(conversations: DataFrame) -> DataFrame:
 
 def live_events(events: DataFrame) -> DataFrame:
     """Events that no regeneration has undone."""
+    events = events.select("conv_id", "seq", "kind", "turn", "nth", "role", "text")
     again = events.filter("kind = 'regenerate'").select("conv_id", "turn", "nth", "seq")
     if again.isEmpty():
         return events
@@ -70,11 +71,12 @@ def live_events(events: DataFrame) -> DataFrame:
     # Messages in order, each with the last regeneration of itself or an earlier one.
     order = Window.partitionBy("conv_id").orderBy("turn", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marks = marks.select("conv_id", "turn", "nth", F.max("own").over(order).alias("reset")).filter("reset IS NOT NULL")
-    key = [events[c].eqNullSafe(marks[c]) for c in ("conv_id", "turn", "nth")]
+    marks = marks.withColumnsRenamed({c: f"__{c}" for c in ("conv_id", "turn", "nth")})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("conv_id", "turn", "nth")]
     return (
-        events.join(marks, key[0] & key[1] & key[2], "left")
+        events.join(marks, same[0] & same[1] & same[2], "left")
         .filter((F.col("kind") != "regenerate") & (F.col("reset").isNull() | (F.col("seq") > F.col("reset"))))
-        .select(*[events[c] for c in events.columns])
+        .drop("reset", "__conv_id", "__turn", "__nth")
     )
 
 
@@ -115,7 +117,7 @@ KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
 def messages(events: DataFrame) -> DataFrame:
     """conv_id, turn, nth, role, text of the final messages."""
     names = ["conv_id", "turn", "nth", "role", "text"]
-    log = live_events(events).select("conv_id", "seq", "kind", "turn", "nth", "role", "text")
+    log = live_events(events)
     dealt = log.repartition("conv_id", "turn", "nth").sortWithinPartitions("conv_id", "turn", "nth", "seq", "kind", "text")
     return dealt.mapInArrow(lambda it: fold(it, names), "conv_id long, turn long, nth int, role string, text string")
 

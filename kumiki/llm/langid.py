@@ -123,7 +123,7 @@ def predictions(batches, model: Model, names: list[str]):
         lang, score = [], []
         for t in texts_of(batch.column(2)):
             bits = model.bits(t)
-            best = bits.argmin(1)
+            best = bits.argmin(1) if model.langs else []
             for i in range(len(t)):
                 if not model.langs or not has_letter(t.data[t.offs[i] : t.offs[i + 1]]):
                     lang.append("und")
