@@ -12,6 +12,10 @@ keeps apart documents that have a passage in common and no more:
   classes follows the size of the set, so that combinations stay about in proportion to the prefix; sets near a
   power of two are indexed for both numbers.
 
+A rare token in the prefix that is in no other prefix is missing from every document that has all its rare tokens in
+its own. Where such tokens leave too few to share, pairs are ruled out before they are formed: a document that has too
+many of them to be linked with any of the others gives up its combinations.
+
 Documents with equal sets form one class. Within a signature's group each document is first compared with one leader,
 the linked ones are merged, and then only pairs of different components are left to compare: groups of near copies
 cost about as many comparisons as they have members, and no link between components is lost. Comparisons use the whole
@@ -99,22 +103,23 @@ class Prefixes:
         order = np.argsort(frequent)
         self.known, self.rank = frequent[order], order.astype(np.int32)
 
-    def of(self, tokens: np.ndarray) -> np.ndarray:
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Signatures (the lowest bit is 1 for combinations), and whether all rare tokens are among them."""
         n, p = len(tokens), self.percent
         if not n or 100 * n // p == n:  # only an equal set can be linked
-            return np.zeros(0, U)
+            return np.zeros(0, U), False
         lacking = n - (p * n + 99) // 100
         needed = lacking + 1 + lacking // SPARE
         at = np.minimum(np.searchsorted(self.known, tokens), max(0, len(self.known) - 1))
         frequent = self.known[at] == tokens if len(self.known) else np.zeros(n, bool)
         rare = tokens[~frequent][:needed]
-        out = [splitmix(rare)]
+        out = [splitmix(rare) & ~U(1)]
         if len(rare) < needed:
             common = tokens[frequent][np.argsort(self.rank[at[frequent]])]
             band = n.bit_length() - 1
             bands = [band] + [band - 1] * ((p * n + 99) // 100 < 1 << band)
             out += [self._pairs(common, needed - len(rare), b) for b in bands]
-        return np.unique(np.concatenate(out))
+        return np.unique(np.concatenate(out)), len(rare) < needed
 
     def _pairs(self, common: np.ndarray, needed: int, band: int) -> np.ndarray:
         groups: dict[int, list[int]] = {}
@@ -132,27 +137,28 @@ class Prefixes:
             return np.zeros(0, U)
         pairs = np.sort(np.array(out, U), axis=1)
         with np.errstate(over="ignore"):
-            return splitmix(pairs[:, 0] * U(0x9E3779B97F4A7C15) + splitmix(pairs[:, 1] + U(band + 1)))
+            return splitmix(pairs[:, 0] * U(0x9E3779B97F4A7C15) + splitmix(pairs[:, 1] + U(band + 1))) | U(1)
 
 
 def signature_rows(batches, k: int, prefixes: Prefixes):
-    """sig, id: the signatures of each set; of equal sets that a task meets, the first is enough."""
+    """sig, id, whole: the signatures of each set; of equal sets that a task meets, the first is enough."""
     met: set[tuple[int, int]] = set()
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        sigs, owner = [], []
+        sigs, owner, whole = [], [], []
         for i, tokens in enumerate(shingle_sets(batch.column(1), k)):
             key = digest(tokens)
             if key in met:
                 continue
             if len(met) < 200_000:
                 met.add(key)
-            own = prefixes.of(tokens)
+            own, full = prefixes.of(tokens)
             sigs.append(own)
             owner.append(np.full(len(own), ids[i], np.int64))
+            whole.append(np.full(len(own), full))
         if sigs:
-            cols = [pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(owner))]
-            yield pa.record_batch(cols, ["sig", "id"])
+            cols = [np.concatenate(sigs).astype(np.int64), np.concatenate(owner), np.concatenate(whole)]
+            yield pa.record_batch([pa.array(c) for c in cols], ["sig", "id", "whole"])
 
 
 def token_rows(batches, k: int):
@@ -216,33 +222,49 @@ def jaccard_components(
     rep_of = some.join(classes, ["hi", "lo", "n"]).select("id", "rep").filter("id <> rep").distinct()
     rep_of = written(rep_of, "copies")
 
-    sigs = base.filter("id IS NOT NULL").mapInArrow(lambda it: signature_rows(it, k, prefixes.value), "sig long, id long")
+    sigs = base.filter("id IS NOT NULL").mapInArrow(
+        lambda it: signature_rows(it, k, prefixes.value), "sig long, id long, whole boolean"
+    )
     sigs = released(written(sigs, "signatures"))
-    groups = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).filter("n > 1")
-    members = sigs.join(groups.select("sig", "leader"), "sig")
     copies = bounded(rep_of)
-    members = (
-        members.join(copies, "id", "left")
-        .select("sig", F.coalesce("rep", "id").alias("id"), "leader")
-        .join(copies.select(F.col("id").alias("leader"), F.col("rep").alias("lead_rep")), "leader", "left")
-        .select("sig", "id", F.coalesce("lead_rep", "leader").alias("leader"))
-        .distinct()
+    as_rep = sigs.join(copies, "id", "left").select("sig", F.coalesce("rep", "id").alias("id"), "whole")
+    groups = as_rep.groupBy("sig").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
+    groups = groups.filter("leader < last").select("sig", "leader")
+    members = released(written(as_rep.select("sig", "id").join(groups, "sig").distinct(), "members"))
+
+    # Tokens of a prefix that are in no other one.
+    single = (F.col("sig").bitwiseAND(F.lit(1)) == 0).cast("int")
+    held = sigs.groupBy("id").agg(F.sum(single).alias("singles"), F.max("whole").alias("whole"))
+    held = held.join(copies, "id", "left").groupBy(F.coalesce("rep", "id").alias("id")).agg(
+        F.max("singles").alias("singles"), F.max("whole").alias("whole")
     )
-    members = released(written(members, "members"))
-    sizes = classes.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n"))
-    n = F.least("na", "nb")
-    lacking = n - F.floor((percent * n + 99) / 100)
-    sized = written(sizes, "sizes")
+    shared = members.groupBy("id").agg(F.sum(single).alias("shared"))
+    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    sized = sizes.join(shared, "id").join(held, "id").select("id", "n", "whole", (F.col("singles") - F.col("shared")).alias("dead"))
+    most = F.col("n") * (1 + 100 / percent) * (100 - percent) / (100 + percent)
+    sized = written(sized.withColumn("hopeless", F.col("whole") & (F.col("dead") > most)), "sizes")
+    hopeless = bounded(written(sized.filter("hopeless").select("id"), "hopeless"))
+    combined = members.filter(single == 0).join(hopeless, "id", "left_anti")
+    members = members.filter(single == 1).unionByName(combined)
+
+    def side(name: str) -> DataFrame:
+        return sized.select(F.col("id").alias(name), *(F.col(c).alias(c + name) for c in ("n", "whole", "dead")))
+
+    total = F.col("na") + F.col("nb")
+    lacking = total - 2 * F.ceil(percent * total / (100 + percent))
+    apart_dead = F.when(F.col("wholeb"), F.col("deada")).otherwise(0) + F.when(F.col("wholea"), F.col("deadb")).otherwise(0)
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart_dead <= lacking)
+    least = F.least("na", "nb")
+    spare = F.floor((least - F.floor((percent * least + 99) / 100)) / SPARE)
 
     def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, count) whose sizes allow the threshold and that share the signatures that it needs."""
-        x = sized.select(F.col("id").alias("a"), F.col("n").alias("na"))
-        y = sized.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-        near = pairs.join(x, "a").join(y, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return near.filter(F.col("count") >= 1 + F.floor(lacking / SPARE)).drop("na", "nb")
+        """Pairs (a, b, count) that fit and share the signatures that they need."""
+        near = pairs.join(side("a"), "a").join(side("b"), "b")
+        return near.filter(fits & (F.col("count") >= 1 + spare)).select("a", "b", "count")
 
     star = members.filter("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).count()
     star = written(enough(star), "star")
+
     def token_table(pairs: DataFrame) -> DataFrame:
         """The sets of the documents in pairs."""
         busy = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -280,12 +302,13 @@ def jaccard_components(
     named = members.select("sig", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = written(named.select("sig", "id", F.coalesce("label", "id").alias("label")), "named")
     mixed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    open_ = written(named.join(mixed, "sig", "left_semi").join(sized, "id"), "open")
-    left = open_.select("sig", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = open_.select("sig", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    apart_ = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))
-    crossing = enough(left.join(right, "sig").filter(apart_ & fits).groupBy("a", "b").count())
+    open_ = written(named.join(mixed, "sig", "left_semi"), "open")
+
+    def half(name: str) -> DataFrame:
+        return open_.select("sig", F.col("id").alias(name), F.col("label").alias("l" + name)).join(side(name), name)
+
+    crossing = half("a").join(half("b"), "sig").filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & fits)
+    crossing = enough(crossing.groupBy("a", "b").count())
     crossing = (
         crossing.select("a", "b")
         .join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
