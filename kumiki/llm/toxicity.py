@@ -6,7 +6,8 @@ model sees earlier ones as wrong as they will be on new texts.
 
 Features are the distinct words of a text and their beginnings of 4 to 6 bytes, hashed to ``1 << BITS`` places; each
 model keeps the ``FEATURES`` places whose presence differs most between its classes. Models are fitted on a sample of
-labelled rows of about ``sample`` documents, chosen by a hash of their id; every document is scored as a whole.
+labelled rows, chosen by a hash of their id: about ``sample / 2`` documents that have the last category and as many
+that don't. Every document is scored as a whole.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from kumiki.llm.kernel import FOLD, U, _B, _byte_values, byte_table, powers, splitmix, texts_of, words
 from kumiki.llm.shared import bounded, small_batches, written
 
-BITS, FEATURES, FOLDS, SAMPLE_DOCS = 20, 2500, 4, 16_000
+BITS, FEATURES, FOLDS, SAMPLE_DOCS = 20, 2500, 4, 6_000
 PREFIXES = (4, 5, 6)
 WORD = byte_table(lambda b: b >= 0x80 or chr(b).isalnum())
 
@@ -117,7 +118,7 @@ class Chain:
     def _fit(rows, flat, dense, y, use) -> Linear | float:
         if not use.any() or y[use].min() == y[use].max():
             return float(y[use].mean()) if use.any() else 0.0
-        place = np.cumsum(use) - 1
+        place = (np.cumsum(use) - 1).astype(np.int32)
         own = use[rows]
         return Linear(place[rows[own]], flat[own], dense[use], y[use])
 
@@ -150,8 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str,
         *(F.max(F.col(c).cast("double")).alias(f"y{i}") for i, c in enumerate(categories))
     )
     part = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20))
-    many = tags.count()
-    tags = tags.filter(part < F.lit(int((1 << 20) * min(1.0, sample / max(1, many)))))
+    last = F.coalesce(F.col(f"y{len(categories) - 1}") > 0, F.lit(False))
+    many = {r["kind"]: r["count"] for r in tags.groupBy(last.alias("kind")).count().collect()}
+    share = {k: min(1.0, sample / 2 / n) for k, n in many.items()}
+    kept = F.when(last, F.lit(share.get(True, 1.0))).otherwise(F.lit(share.get(False, 1.0)))
+    tags = tags.filter(part < kept * (1 << 20))
     tags = bounded(written(tags, "labels"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(tags.select("id"), "id", "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -159,11 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str,
     lists = found["places"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
     size = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
     fold = np.arange(len(size)) % FOLDS
     ys = [found[f"y{i}"].to_numpy().astype(float) for i in range(len(categories))]
-    return Chain(np.repeat(np.arange(len(size)), size), flat, ys, fold)
+    return Chain(np.repeat(np.arange(len(size), dtype=np.int32), size), flat, ys, fold)
 
 
 def toxicity(
@@ -172,7 +176,7 @@ def toxicity(
     categories: tuple[str, ...] = ("low_quality", "toxic"),
     id_col: str = "doc_id",
     text_col: str = "text",
-    threshold: float = 0.3,
+    threshold: float = 0.5,
     sample: int = SAMPLE_DOCS,
 ) -> DataFrame:
     """One row for each row of docs: id, p_<category> of each category in order, and whether the last is rejected.
