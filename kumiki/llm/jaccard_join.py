@@ -14,7 +14,8 @@ keeps apart documents that have a passage in common and no more:
 
 A rare token in the prefix that is in no other prefix is missing from every document that has all its rare tokens in
 its own. Where such tokens leave too few to share, pairs are ruled out before they are formed: a document that has too
-many of them to be linked with any of the others gives up its combinations.
+many of them to be linked with any of the others gives up its combinations. So are pairs whose parity bitmaps (256 bits
+of each set) differ in more bits than the threshold leaves tokens to differ.
 
 Documents with equal sets form one class. Within a signature's group each document is first compared with one leader,
 the linked ones are merged, and then only pairs of different components are left to compare: groups of near copies
@@ -67,6 +68,16 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([one, two], U).astype(np.int64).tolist())
 
 
+def parities(tokens: np.ndarray) -> list[int]:
+    """256 bits: whether an odd number of tokens falls to each. Two sets differ by as many tokens as bits, at least."""
+    odd = np.bincount((splitmix(tokens ^ U(0x7F4A7C15DEADBEEF)) >> U(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+BITS = ["b0", "b1", "b2", "b3"]
+SET_NAMES = ["id", "n", "hi", "lo", *BITS]
+
+
 def set_rows(batches, k: int):
     """A row for each document (kind 0: size and digest of its set), and counts of tokens that recur (kind 1)."""
     block: list[np.ndarray] = []
@@ -76,21 +87,19 @@ def set_rows(batches, k: int):
         u, n = np.unique(np.concatenate(block), return_counts=True)
         u, n = u[n >= BLOCK_COUNT], n[n >= BLOCK_COUNT]
         none = pa.nulls(len(u), pa.int64())
-        return pa.record_batch([none, pa.array(n, pa.int64()), pa.array(u.astype(np.int64)), none], ["id", "n", "hi", "lo"])
+        return pa.record_batch([none, pa.array(n, pa.int64()), pa.array(u.astype(np.int64)), *[none] * 5], SET_NAMES)
 
     for batch in batches:
-        n, hi, lo = [], [], []
+        found: list[tuple] = []
         for tokens in shingle_sets(batch.column(1), k):
-            a, b = digest(tokens)
-            n.append(len(tokens))
-            hi.append(a)
-            lo.append(b)
+            found.append((len(tokens), *digest(tokens), *parities(tokens)))
             block.append(tokens)
             held += len(tokens)
             if held > BLOCK_TOKENS:
                 yield counted()
                 block, held = [], 0
-        yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, hi, lo))], ["id", "n", "hi", "lo"])
+        columns = zip(*found, strict=True) if found else [[]] * 7
+        yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], SET_NAMES)
     if block:
         yield counted()
 
@@ -210,7 +219,7 @@ def jaccard_components(
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = base.mapInArrow(lambda it: set_rows(it, k), "id long, n long, hi long, lo long")
+    rows = base.mapInArrow(lambda it: set_rows(it, k), ", ".join(f"{c} long" for c in SET_NAMES))
     # Rows of documents without an id have a null id too; counts of tokens carry a null lo.
     rows = written(rows, "sets")
     per_doc = rows.filter("lo IS NOT NULL")
@@ -218,8 +227,8 @@ def jaccard_components(
     prefixes = spark.sparkContext.broadcast(Prefixes(percent, most_frequent(written(counts, "frequent"))))
 
     some = per_doc.filter("id IS NOT NULL AND n > 0")
-    classes = written(some.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep")), "classes")
-    rep_of = some.join(classes, ["hi", "lo", "n"]).select("id", "rep").filter("id <> rep").distinct()
+    classes = written(some.groupBy("hi", "lo", "n", *BITS).agg(F.min("id").alias("rep")), "classes")
+    rep_of = some.drop(*BITS).join(classes, ["hi", "lo", "n"]).select("id", "rep").filter("id <> rep").distinct()
     rep_of = written(rep_of, "copies")
 
     sigs = base.filter("id IS NOT NULL").mapInArrow(
@@ -239,21 +248,29 @@ def jaccard_components(
         F.max("singles").alias("singles"), F.max("whole").alias("whole")
     )
     shared = members.groupBy("id").agg(F.sum(single).alias("shared"))
-    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
-    sized = sizes.join(shared, "id").join(held, "id").select("id", "n", "whole", (F.col("singles") - F.col("shared")).alias("dead"))
-    most = F.col("n") * (1 + 100 / percent) * (100 - percent) / (100 + percent)
+    sizes = classes.select(F.col("rep").alias("id"), "n", *BITS).dropDuplicates(["id"])
+    sized = sizes.join(shared, "id").join(held, "id").select("id", "n", *BITS, "whole", (F.col("singles") - F.col("shared")).alias("dead"))
+    most = F.col("n") * (100 - percent) / 100  # of any partner it shares percent of its own tokens at least
     sized = written(sized.withColumn("hopeless", F.col("whole") & (F.col("dead") > most)), "sizes")
     hopeless = bounded(written(sized.filter("hopeless").select("id"), "hopeless"))
     combined = members.filter(single == 0).join(hopeless, "id", "left_anti")
     members = members.filter(single == 1).unionByName(combined)
 
     def side(name: str) -> DataFrame:
-        return sized.select(F.col("id").alias(name), *(F.col(c).alias(c + name) for c in ("n", "whole", "dead")))
+        return sized.select(F.col("id").alias(name), *(F.col(c).alias(c + name) for c in ("n", "whole", "dead", *BITS)))
 
     total = F.col("na") + F.col("nb")
-    lacking = total - 2 * F.ceil(percent * total / (100 + percent))
-    apart_dead = F.when(F.col("wholeb"), F.col("deada")).otherwise(0) + F.when(F.col("wholea"), F.col("deadb")).otherwise(0)
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart_dead <= lacking)
+    overlap = F.ceil(percent * total / (100 + percent))
+    only_a = F.when(F.col("wholeb"), F.col("deada")).otherwise(0)
+    only_b = F.when(F.col("wholea"), F.col("deadb")).otherwise(0)
+    differ = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in BITS), F.lit(0))
+    fits = (
+        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & (F.col("na") - only_a >= overlap)
+        & (F.col("nb") - only_b >= overlap)
+        & (only_a + only_b <= total - 2 * overlap)
+        & (differ <= total - 2 * overlap)
+    )
     least = F.least("na", "nb")
     spare = F.floor((least - F.floor((percent * least + 99) / 100)) / SPARE)
 
