@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kumiki.llm.components import components
-from kumiki.llm.kernel import FOLD, U, splitmix, texts_of, window_hashes, windows_per_text, word_hashes, words
+from kumiki.llm.kernel import FOLD, U, splitmix, texts_of, trimmed, window_hashes, windows_per_text, word_hashes, words
 from kumiki.llm.shared import bounded, released, small_batches, written
 
 #: The frequent class: tokens of at least so many documents by the blocks' reports, and no more of them than this.
@@ -219,7 +219,7 @@ def jaccard_components(
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = base.mapInArrow(lambda it: set_rows(it, k), ", ".join(f"{c} long" for c in SET_NAMES))
+    rows = base.mapInArrow(lambda it: trimmed(set_rows(it, k)), ", ".join(f"{c} long" for c in SET_NAMES))
     # Rows of documents without an id have a null id too; counts of tokens carry a null lo.
     rows = written(rows, "sets")
     per_doc = rows.filter("lo IS NOT NULL")
@@ -232,7 +232,7 @@ def jaccard_components(
     rep_of = written(rep_of, "copies")
 
     sigs = base.filter("id IS NOT NULL").mapInArrow(
-        lambda it: signature_rows(it, k, prefixes.value), "sig long, id long, whole boolean"
+        lambda it: trimmed(signature_rows(it, k, prefixes.value)), "sig long, id long, whole boolean"
     )
     sigs = released(written(sigs, "signatures"))
     copies = bounded(rep_of)
@@ -287,12 +287,12 @@ def jaccard_components(
         busy = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         busy = bounded(written(busy, "busy"))
         found = base.join(busy, "id", "left_semi").dropDuplicates(["id"])
-        return released(written(found.mapInArrow(lambda it: token_rows(it, k), "id long, tokens binary"), "tokens"))
+        return released(written(found.mapInArrow(lambda it: trimmed(token_rows(it, k)), "id long, tokens binary"), "tokens"))
 
     def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         both = with_x.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(lambda it: linked_rows(it, percent), "a long, b long")
+        return both.mapInArrow(lambda it: trimmed(linked_rows(it, percent)), "a long, b long")
 
     def labelled(edges: DataFrame) -> DataFrame:
         return bounded(components(edges))

@@ -6,6 +6,7 @@ the hashes of its words; both come from prefix sums modulo 2**64, so a window of
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -158,3 +159,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def windows_per_text(w: Words, k: int) -> np.ndarray:
     """Number of windows of k words of each text."""
     return np.maximum(0, w.counts() - k + 1)
+
+
+def trimmed(rows: Iterator) -> Iterator:
+    """Passes rows on, and then gives freed memory back to the system, so that an idle worker stays small."""
+    yield from rows
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kumiki.llm.kernel import FOLD, U, _B, _byte_values, byte_table, powers, splitmix, texts_of, words
+from kumiki.llm.kernel import FOLD, U, _B, _byte_values, byte_table, powers, splitmix, texts_of, trimmed, words
 from kumiki.llm.shared import bounded, small_batches, written
 
 BITS, FEATURES, FOLDS, SAMPLE_DOCS = 20, 2500, 4, 6_000
@@ -196,7 +196,7 @@ def toxicity(
         + [T.StructField(f"p_{c}", T.DoubleType()) for c in categories]
         + [T.StructField(last, T.BooleanType())]
     )
-    return source.mapInArrow(lambda it: score_rows(it, chain.value, schema.names, threshold), schema)
+    return source.mapInArrow(lambda it: trimmed(score_rows(it, chain.value, schema.names, threshold)), schema)
 
 
 def with_categories(labels: DataFrame) -> DataFrame:
