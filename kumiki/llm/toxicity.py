@@ -7,7 +7,8 @@ model sees earlier ones as wrong as they will be on new texts.
 Features are the distinct words of a text and their beginnings of 4 to 6 bytes, hashed to ``1 << BITS`` places; each
 model keeps the ``FEATURES`` places whose presence differs most between its classes. Models are fitted on a sample of
 labelled rows, chosen by a hash of their id: about ``sample / 2`` documents that have the last category and as many
-that don't. Every document is scored as a whole.
+that don't. A row counts for as many as its kind was cut to, in the loss and in what features are chosen, so that
+probabilities and the threshold keep the scale of all labelled rows. Every document is scored as a whole.
 """
 
 from __future__ import annotations
@@ -65,23 +66,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """Logistic regression on chosen places and dense columns."""
+    """Logistic regression on chosen places and dense columns, of rows with weights."""
 
-    def __init__(self, rows: np.ndarray, flat: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 150):
-        n, one = len(y), max(1, int(y.sum()))
+    def __init__(
+        self, rows: np.ndarray, flat: np.ndarray, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150
+    ):
+        n, one = len(y), max(1, int((y > 0).sum()))
         zero = max(1, n - one)
-        hit = np.bincount(flat[y[rows] > 0], minlength=1 << BITS) / one
-        miss = np.bincount(flat[y[rows] == 0], minlength=1 << BITS) / zero
+        ones, zeros = weight[y > 0].sum(), weight[y == 0].sum()
+        on, off = y[rows] > 0, y[rows] == 0
+        hit = np.minimum(np.bincount(flat[on], weight[rows[on]], 1 << BITS) / ones, 1)
+        miss = np.minimum(np.bincount(flat[off], weight[rows[off]], 1 << BITS) / zeros, 1)
         apart = np.abs(hit - miss) / np.sqrt(hit * (1 - hit) / one + miss * (1 - miss) / zero + 1 / one**2)
         best = np.argsort(-apart, kind="stable")[:FEATURES]
         self.column = np.full(1 << BITS, -1, np.int32)
         self.column[best] = np.arange(len(best))
         rows, cols = self._chosen(rows, flat)
-        w, v, b = np.zeros(len(best)), np.zeros(dense.shape[1]), np.log(one / zero)
+        w, v, b = np.zeros(len(best)), np.zeros(dense.shape[1]), np.log(ones / zeros)
         m, s = np.zeros(len(w) + len(v) + 1), np.zeros(len(w) + len(v) + 1)
+        share = weight / weight.sum()
         for step in range(1, steps + 1):
             p = sigmoid(np.bincount(rows, w[cols], n) + dense @ v + b)
-            err = (p - y) / n
+            err = (p - y) * share
             g = np.concatenate([np.bincount(cols, err[rows], len(w)) + 1e-5 * w, dense.T @ err + 1e-5 * v, [err.sum()]])
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
@@ -100,27 +106,27 @@ class Linear:
 class Chain:
     """Models of the categories in order; a category without examples of both kinds has a constant instead."""
 
-    def __init__(self, rows: np.ndarray, flat: np.ndarray, labels: list[np.ndarray], fold: np.ndarray):
+    def __init__(self, rows: np.ndarray, flat: np.ndarray, labels: list[np.ndarray], fold: np.ndarray, weight: np.ndarray):
         self.models: list[Linear | float] = []
         n = len(fold)
         dense = np.zeros((n, 0))
         for y in labels:
             known = ~np.isnan(y)
             y0 = np.nan_to_num(y)
-            self.models.append(self._fit(rows, flat, dense, y0, known))
+            self.models.append(self._fit(rows, flat, dense, y0, known, weight))
             out = np.zeros(n)
             for f in range(FOLDS):
-                model = self._fit(rows, flat, dense, y0, known & (fold != f))
+                model = self._fit(rows, flat, dense, y0, known & (fold != f), weight)
                 out[fold == f] = self._of(model, rows, flat, dense)[fold == f]
             dense = np.column_stack([dense, out])
 
     @staticmethod
-    def _fit(rows, flat, dense, y, use) -> Linear | float:
+    def _fit(rows, flat, dense, y, use, weight) -> Linear | float:
         if not use.any() or y[use].min() == y[use].max():
             return float(y[use].mean()) if use.any() else 0.0
         place = (np.cumsum(use) - 1).astype(np.int32)
         own = use[rows]
-        return Linear(place[rows[own]], flat[own], dense[use], y[use])
+        return Linear(place[rows[own]], flat[own], dense[use], y[use], weight[use])
 
     @staticmethod
     def _of(model, rows, flat, dense) -> np.ndarray:
@@ -155,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str,
     many = {r["kind"]: r["count"] for r in tags.groupBy(last.alias("kind")).count().collect()}
     share = {k: min(1.0, sample / 2 / n) for k, n in many.items()}
     kept = F.when(last, F.lit(share.get(True, 1.0))).otherwise(F.lit(share.get(False, 1.0)))
-    tags = tags.filter(part < kept * (1 << 20))
+    tags = tags.filter(part < kept * (1 << 20)).withColumn("weight", 1 / kept)
     tags = bounded(written(tags, "labels"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(tags.select("id"), "id", "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -167,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str,
     size = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
     fold = np.arange(len(size)) % FOLDS
     ys = [found[f"y{i}"].to_numpy().astype(float) for i in range(len(categories))]
-    return Chain(np.repeat(np.arange(len(size), dtype=np.int32), size), flat, ys, fold)
+    return Chain(np.repeat(np.arange(len(size), dtype=np.int32), size), flat, ys, fold, found["weight"].to_numpy().astype(float))
 
 
 def toxicity(

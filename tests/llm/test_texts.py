@@ -123,3 +123,14 @@ def test_toxicity_of_odd_tables(spark, docs_of):
     one = spark.createDataFrame([(1, 0, None), (2, None, 1), (2, 1, 0)], "doc_id long, low_quality int, toxic int")
     assert toxicity(d, one).count() == 3 and toxicity(docs_of([]), one).count() == 0
     assert fit_rows(d, labels).columns == d.columns
+
+
+def test_toxicity_keeps_its_scale_in_a_sample(spark, docs_of):
+    kinds = [("hmm maybe", 0, 280), ("hmm maybe", 1, 120), ("vile rubbish", 1, 180), ("good morning", 0, 2420)]
+    rows = [(t, y) for t, y, n in kinds for _ in range(n)]
+    d = docs_of([(i, t, None, None, None) for i, (t, _) in enumerate(rows)])
+    labels = spark.createDataFrame([(i, i % 2, y) for i, (_, y) in enumerate(rows)], "doc_id long, low_quality int, toxic int")
+    for sample in (10**6, 400):  # at a natural share of 0.1, three in ten of the borderline texts are toxic
+        got = {r.text: r for r in toxicity(d, labels, sample=sample).join(d, "doc_id").groupBy("text").agg(F.avg("p_toxic").alias("p"), F.max("is_toxic").alias("most"), F.min("is_toxic").alias("least")).collect()}
+        assert not got["hmm maybe"].most and 0.2 < got["hmm maybe"].p < 0.42
+        assert got["vile rubbish"].least and not got["good morning"].most
