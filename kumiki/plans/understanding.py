@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kumiki.operators import queryir as q
+from kumiki.operators import retrieval as r
+from kumiki.plans import retrieval
 from kumiki.plans.registry import query, sql_values, table, values
 
 SYN = [("the", "a", 1), ("the", "an", 2), ("the", "that", 3), ("of", "from", 4)]
@@ -68,6 +70,34 @@ def rerank_features(spark, d):
     return out.select("a", "b", F.round("keyword_overlap", 6).alias("keyword_overlap"), "time_match", "intent_match")
 
 
+@query(
+    "rerank_features_topk",
+    f"""WITH {retrieval.BM25},
+    p AS (SELECT query_id, doc_id, list_distinct({retrieval.WORDS.format('b.text')}) AS k, list_distinct({retrieval.WORDS.format('d.text')}) AS c
+          FROM bm JOIN benchmark b ON item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 20)
+    SELECT query_id, doc_id, round(len(list_intersect(k, c)) / len(k), 6) AS keyword_overlap,
+        CASE WHEN query_id % 2 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END END::DOUBLE AS time_match,
+        CASE query_id % 3 WHEN 1 THEN (doc_id % 2 = 1)::INT WHEN 2 THEN (doc_id % 2 = 0)::INT END::DOUBLE AS intent_match FROM p""",
+)
+def rerank_features_topk(spark, d):
+    """Signals of every item and its 20 best documents of the whole table."""
+    none = F.array().cast("array<string>")
+    kind = F.col("item_id") % 3
+    x = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.array_distinct(retrieval.words("text")).alias("keywords"), none.alias("expanded"), none.alias("topics"), none.alias("entities"),
+        F.when(F.col("item_id") % 2 == 0, F.array(F.lit("FY2026"))).otherwise(none).alias("times"), F.lit(None).cast("string").alias("sentiment"),
+        F.when(kind == 1, "DATE").when(kind == 2, "PERSON").alias("answer_type"),
+    )
+    y = table(spark, d, "documents").select(
+        "doc_id", F.array_distinct(retrieval.words("text")).alias("c_keywords"), none.alias("c_topics"), none.alias("c_entities"), F.lit("x").alias("c_sentiment"),
+        F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("2026-05-01"))).otherwise(F.array(F.lit("2025"))).alias("c_times"),
+        F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("TIME"))).otherwise(F.array(F.lit("PERSON"))).alias("c_types"),
+    )
+    top = r.top_k(retrieval.ranking(spark, d), 20).select("query_id", "doc_id")
+    out = q.rerank_features(top.join(x, "query_id").join(y, "doc_id"))
+    return out.select("query_id", "doc_id", F.round("keyword_overlap", 6).alias("keyword_overlap"), "time_match", "intent_match")
+
+
 @query(
     "document_votes",
     """WITH v AS (SELECT user_id AS text_id, event_type AS emotion, round(sum(greatest(value / 1000, 0.1)), 6) AS v, min(event_id) AS f FROM events GROUP BY ALL)

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kumiki.plans import queries as plans
 
@@ -37,3 +38,10 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_query_runs(spark, name):
     assert plans.queries()[name](spark, SF).count() > 0
+
+
+def test_rerank_signals_are_of_every_item(spark):
+    found = plans.queries()["rerank_features_topk"](spark, SF)
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").distinct()
+    per = found.groupBy("query_id").agg(F.count("*").alias("n"), F.count("intent_match").alias("asked"))
+    assert per.count() == items.count() and per.filter("n <> 20 OR asked <> n * int(query_id % 3 > 0)").count() == 0
