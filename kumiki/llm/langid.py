@@ -1,16 +1,14 @@
 """Language identification by prediction by partial matching.
 
-Each language has a context tree of bytes up to ``order`` deep (escape probabilities by method C, with exclusion), its
+Each language has a context tree of bytes up to ``ORDER`` deep (escape probabilities by method C, with exclusion), its
 statistics frozen after training. A text's score under a language is its exact code length in bits, and the language
-of the shortest code wins. The tree is kept as one dense table from (context, symbol) to the bits under each language,
-so a text is scored by one lookup for each byte.
+of the shortest code wins. All 256 bytes are symbols of their own, but for A-Z, which are folded. The trees are sparse:
+sorted tables of the contexts with a symbol that have been met, with the bits under each language, and of the contexts
+with the bits of an escape from them.
 
-Bytes are folded (A-Z) and mapped to symbols: the most frequent bytes of the training sample have their own, all others
-share one, whose inner code is the same for every language and so left out.
-
-Training takes a bounded sample of whole texts: about ``sample`` documents of each language, chosen by a hash of their
-id, at most ``MAX_LANGS`` languages (the most frequent). Nothing else of a document but its text is looked at when it
-is scored.
+Every value of the language column is learnt, from a bounded sample of whole texts: about ``sample`` documents of each
+language, chosen by a hash of their id. Languages are taken in blocks whose tables fit in ``TABLE_BYTES``; with more than
+one block, texts pass through one after another. Nothing else of a document but its text is looked at when it is scored.
 """
 
 from __future__ import annotations
@@ -25,92 +23,113 @@ from pyspark.sql import types as T
 
 from kumiki.llm.bpe import held
 from kumiki.llm.kernel import FOLD, texts_of
-from kumiki.llm.shared import small_batches
+from kumiki.llm.shared import bounded, small_batches, written
 
-MAX_LANGS, SAMPLE_DOCS = 64, 3000
-#: Bytes of the table of code lengths; with many languages the contexts get shorter to stay below.
+ORDER, SAMPLE_DOCS = 3, 3000
+SYMBOLS = len(np.unique(FOLD))
+#: Bytes of the deepest table of code lengths of a block of languages; one language is a block at any size.
 TABLE_BYTES = 96 << 20
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123)]] = True
 
 
-def shape(langs: int) -> tuple[int, int]:
-    """Order of the contexts and number of symbols for so many languages."""
-    for order, least in ((3, 40), (2, 40), (1, 2)):
-        symbols = int((TABLE_BYTES / (4 * max(1, langs))) ** (1 / (order + 1)))
-        if symbols >= least:
-            return order, min(128, symbols)
-    return 0, 128
-
-
-def grams(t, code: np.ndarray, order: int, symbols: int) -> np.ndarray:
-    """For each byte of a chunk the number of its context and itself; each text begins after white space."""
+def grams(t) -> np.ndarray:
+    """For each byte of a chunk the ORDER bytes before it and itself as one number; each text begins after white space."""
     n = len(t.data)
     size = np.diff(t.offs)
-    at = np.arange(n) + order * np.repeat(np.arange(1, len(t) + 1), size)
-    wide = np.full(n + order * len(t), code[32], np.int32)
-    wide[at] = code[t.data]
-    out = np.zeros(n, np.int32)
-    for back in range(order, -1, -1):
-        out *= symbols
-        out += wide[at - back]
+    at = np.arange(n) + ORDER * np.repeat(np.arange(1, len(t) + 1), size)
+    wide = np.full(n + ORDER * len(t), 32, np.uint32)
+    wide[at] = FOLD[t.data]
+    out = np.zeros(n, np.uint32)
+    for back in range(ORDER, -1, -1):
+        out <<= np.uint32(8)
+        out |= wide[at - back]
     return out
 
 
-def byte_counts(batches):
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for t in texts_of(batch.column(1)):
-            total += np.bincount(FOLD[t.data], minlength=256)
-    yield pa.record_batch([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
-
-
-def gram_counts(batches, code: np.ndarray, order: int, symbols: int):
+def gram_counts(batches):
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         for lang in sorted(set(langs)):
             own = batch.column(1).filter(pa.array(langs == lang))
-            parts = [grams(t, code, order, symbols) for t in texts_of(own)]
+            parts = [grams(t) for t in texts_of(own)]
             key, n = np.unique(np.concatenate(parts), return_counts=True) if parts else ([], [])
             cols = [pa.array([lang] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(n, pa.int64())]
             yield pa.record_batch(cols, ["lang", "gram", "n"])
 
 
-def code_lengths(key: np.ndarray, n: np.ndarray, order: int, symbols: int) -> np.ndarray:
-    """Bits of each symbol after each context of order symbols, from the counts of contexts with their symbol."""
-    counts = np.zeros((symbols,) * (order + 1), np.float32)
-    counts.reshape(-1)[key] = n
-    p = np.full(symbols, 1 / symbols, np.float32)
-    for depth in range(order + 1):
-        c = counts.sum(axis=tuple(range(order - depth)), dtype=np.float32) if depth < order else counts
-        seen = c > 0
-        total, kinds = c.sum(-1, keepdims=True), seen.sum(-1, keepdims=True).astype(np.float32)
-        lower = np.broadcast_to(p, c.shape)
-        unseen = np.where(seen, 0, lower).sum(-1, keepdims=True)
-        full = unseen <= 1e-12  # every symbol has been seen: nothing to escape to
-        with np.errstate(divide="ignore", invalid="ignore"):
-            met = np.where(full, c / total, c / (total + kinds))
-            rest = np.where(full, 0, kinds / (total + kinds) / unseen) * lower
-        p = np.where(total == 0, lower, np.where(seen, met, rest)).astype(np.float32)
-    return -np.log2(np.maximum(p, 1e-30)).reshape(-1)
+def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """1 + the place of each wanted number among sorted keys, or 0."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == wanted, at + 1, 0)
+
+
+class Level:
+    """Contexts of one depth: bits of the symbols met after them and of escapes from them, a row for each language."""
+
+    def __init__(self, depth: int, counts: list[tuple[np.ndarray, np.ndarray]], below: Level | None):
+        self.mask = np.uint32((1 << 8 * (depth + 1)) - 1)
+        met = []
+        for key, n in counts:
+            own, where = np.unique(key & self.mask, return_inverse=True)
+            met.append((own, np.bincount(where, n, len(own))))
+        self.keys = np.unique(np.concatenate([own for own, _ in met]))
+        self.contexts = np.unique(self.keys >> np.uint32(8))
+        of = np.searchsorted(self.contexts, self.keys >> np.uint32(8))
+        at = None if below is None else place(below.keys, self.keys & below.mask)
+        self.bits = np.zeros((len(met), len(self.keys) + 1), np.float32)
+        self.escape = np.zeros((len(met), len(self.contexts) + 1), np.float32)
+        self.exact = []  # in double precision, for the level above
+        for i, (own, n) in enumerate(met):
+            lower = np.full(len(self.keys), np.log2(SYMBOLS)) if below is None else below.exact[i][at - 1]
+            mine = np.searchsorted(self.keys, own)
+            c = of[mine]
+            total, kinds = (np.bincount(c, w, len(self.contexts)) for w in (n, None))
+            unseen = 1 - np.bincount(c, np.exp2(-lower[mine]), len(self.contexts))
+            full = kinds >= SYMBOLS  # every symbol has been seen: nothing to escape to
+            left = (kinds > 0) & ~full
+            out = np.zeros(len(self.contexts))
+            out[left] = -np.log2(kinds[left] / (total + kinds)[left] / np.maximum(unseen[left], 1e-12))
+            bits = lower + out[of]
+            bits[mine] = -np.log2(n / (total + np.where(full, 0, kinds))[c])
+            self.bits[i, 1:], self.escape[i, 1:] = bits, out
+            self.exact.append(bits)
 
 
 class Model:
-    """The code lengths under each language, and the symbols of bytes."""
+    """The code lengths under each language of a block, from the counts of its grams."""
 
-    def __init__(self, langs: list[str], code: np.ndarray, order: int, symbols: int, counts: dict):
-        self.langs, self.code, self.order, self.symbols = langs, code, order, symbols
-        self.table = np.zeros((symbols ** (order + 1), len(langs)), np.float32)
-        for i, lang in enumerate(langs):
-            self.table[:, i] = code_lengths(*counts[lang], order, symbols)
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.langs, self.levels = langs, []
+        for depth in range(ORDER + 1 if langs else 0):
+            self.levels.append(Level(depth, counts, self.levels[-1] if self.levels else None))
+        for level in self.levels:
+            del level.exact
 
     def bits(self, t) -> np.ndarray:
         """Code length of each text of a chunk under each language."""
         out = np.zeros((len(t), len(self.langs)))
         full = np.flatnonzero(np.diff(t.offs))
-        if len(full):
-            cost = self.table[grams(t, self.code, self.order, self.symbols)]
-            out[full] = np.add.reduceat(cost, t.offs[full], axis=0, dtype=np.float64)
+        if not len(full) or not self.langs:
+            return out
+        gram, left, found = grams(t), None, []
+        for level in reversed(self.levels):
+            key = (gram if left is None else gram[left]) & level.mask
+            at = place(level.keys, key)
+            miss = np.flatnonzero(at == 0)
+            found.append((left, level.bits, at))
+            now = miss if left is None else left[miss]
+            found.append((now, level.escape, place(level.contexts, key[miss] >> np.uint32(8))))
+            left = now
+        for i in range(len(self.langs)):
+            cost = found[0][1][i][found[0][2]]
+            for where, table, at in found[1:]:
+                cost[where] += table[i][at]
+            cost[left] += np.float32(np.log2(SYMBOLS))
+            out[full, i] = np.add.reduceat(cost, t.offs[full], dtype=np.float64)
         return out
 
 
@@ -118,52 +137,62 @@ def has_letter(raw: np.ndarray) -> bool:
     return bool(LETTERS[raw].any()) or any(c.isalpha() for c in raw.tobytes().decode())
 
 
-def predictions(batches, model: Model, names: list[str]):
+def predictions(batches, model: Model, names: list[str], first: bool, last: bool):
+    """Texts with the best language so far, its bits, and the sum of the languages' probabilities over the best one's;
+    after the last block the language and its share."""
     for batch in batches:
-        lang, score = [], []
-        for t in texts_of(batch.column(2)):
-            bits = model.bits(t)
-            best = bits.argmin(1) if model.langs else []
-            for i in range(len(t)):
-                if not model.langs or not has_letter(t.data[t.offs[i] : t.offs[i + 1]]):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                lang.append(model.langs[best[i]])
-                score.append(float(1 / np.exp2(np.maximum(bits[i, best[i]] - bits[i], -1000)).sum()))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
-
-
-def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, sample: int) -> tuple:
-    """Names, symbols and counts of the languages, from a bounded sample of the rows where learn holds."""
+        n = batch.num_rows
+        bits = np.concatenate([np.zeros((0, len(model.langs))), *(model.bits(t) for t in texts_of(batch.column(2)))])
+        letters = [has_letter(t.data[t.offs[i] : t.offs[i + 1]]) for t in texts_of(batch.column(2)) for i in range(len(t))] if last else []
+        lang = ["und"] * n if first else batch.column(3).to_pylist()
+        best = np.full(n, np.inf) if first else batch.column(4).to_numpy()
+        total = np.zeros(n) if first else batch.column(5).to_numpy()
+        if model.langs and n:
+            own = bits.min(1)
+            share = np.exp2(np.maximum(own[:, None] - bits, -1000)).sum(1)
+            less = own < best
+            lang = [model.langs[k] if new else old for k, new, old in zip(bits.argmin(1), less, lang, strict=True)]
+            with np.errstate(under="ignore"):
+                move = np.exp2(-np.minimum(np.abs(own - best), 1000))
+            total = np.where(less, share + total * move, total + share * move)
+            best = np.minimum(own, best)
+        if last:
+            known = [bool(model.langs) and x for x in letters]
+            lang = [x if k else "und" for x, k in zip(lang, known, strict=True)]
+            score = np.where(known, 1 / np.where(total > 0, total, 1), 0.0) if n else np.zeros(0)
+            cols = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+        else:
+            cols = [batch.column(2), pa.array(lang, pa.string()), pa.array(best, pa.float64()), pa.array(total, pa.float64())]
+        yield pa.record_batch([batch.column(0), batch.column(1), *cols], names)
+
+
+def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, sample: int, table_bytes: int):
+    """Blocks of languages by name with the counts of their grams, from a bounded sample of the rows where learn holds."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    many = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["lang"] for r in many)
-    order, symbols = shape(len(langs))
-    if not langs:
-        return [], np.zeros(256, np.int64), 0, 2, {}
-    share = F.lit(0.0)
-    for r in many:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(sample / r["count"])).otherwise(share)
     part = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
-    chosen = rows.filter(part < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    found = chosen.mapInArrow(byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    often = [r["byte"] for r in sorted(found, key=lambda r: (-r["n"], r["byte"])) if r["n"]]
-    code = np.full(256, symbols - 1, np.int64)
-    own = [32, *(b for b in often if b != 32)][: symbols - 1]
-    code[own] = np.arange(len(own))
-    code = code[FOLD]
-    met = (
-        chosen.mapInArrow(lambda it: gram_counts(it, code, order, symbols), "lang string, gram long, n long")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()  # no more rows than cells of the table of code lengths
-    )
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    counts = {lang: empty for lang in langs} | {
-        lang: (own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64)) for lang, own in met.groupby("lang")
-    }
-    return langs, code, order, symbols, counts
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), part.alias("part"))
+    many = written(rows.groupBy("lang").agg(F.count("*").alias("many")), "langs")
+    chosen = rows.join(bounded(many), "lang").filter(F.col("part") < sample / F.col("many")).select("lang", "text")
+    met = chosen.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    met = written(met, "grams")
+    sizes = dict(met.groupBy("lang").count().collect())
+    langs = sorted(r["lang"] for r in many.select("lang").collect())
+    blocks: list[list[str]] = []
+    held_grams = 0
+    for lang in langs:
+        size = sizes.get(lang, 0)
+        if not blocks or 4 * (held_grams + size) * (len(blocks[-1]) + 1) > table_bytes:
+            blocks.append([])
+            held_grams = 0
+        blocks[-1].append(lang)
+        held_grams += size
+    for block in blocks:
+        own = (met if len(blocks) == 1 else met.filter(F.col("lang").isin(block))).toPandas()
+        counts = {x: (g["gram"].to_numpy(np.uint32), g["n"].to_numpy(np.int64)) for x, g in own.groupby("lang")}
+        empty = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        yield block, [counts.get(x, empty) for x in block], block is blocks[-1]
+    if not blocks:
+        yield [], [], True
 
 
 def identify(
@@ -174,6 +203,7 @@ def identify(
     lang_col: str = "lang",
     sample: int = SAMPLE_DOCS,
     flag: Column | None = None,
+    table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
     """One row for each row of docs: id, flag (held_out), lang_pred, score.
 
@@ -184,16 +214,22 @@ def identify(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    trained = train(docs, learn, id_col, text_col, lang_col, sample)
-    sent = spark.sparkContext.broadcast(trained)
-    made = uuid.uuid4().hex
     source = docs.select(
         F.col(id_col), (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias("held_out"), F.col(text_col)
     )
-    schema = T.StructType([
-        source.schema[0], T.StructField("held_out", T.BooleanType()),
-        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-    ])
-    return source.mapInArrow(
-        lambda it: predictions(it, held(("langid", made), lambda: Model(*sent.value)), schema.names), schema
-    )
+    keys = [source.schema[0], T.StructField("held_out", T.BooleanType())]
+    lang = T.StructField("lang_pred", T.StringType())
+    so_far = T.StructType([*keys, source.schema[2], lang, *(T.StructField(c, T.DoubleType()) for c in ("best", "total"))])
+    schema = T.StructType([*keys, lang, T.StructField("score", T.DoubleType())])
+    first = True
+    for langs, counts, last in train(docs, learn, id_col, text_col, lang_col, sample, table_bytes):
+        out = schema if last else so_far
+        source = source.mapInArrow(_scorer(spark.sparkContext.broadcast((langs, counts)), out.names, first, last), out)
+        source = source if last else written(source, "languages")
+        first = False
+    return source
+
+
+def _scorer(sent, names: list[str], first: bool, last: bool):
+    made = uuid.uuid4().hex
+    return lambda it: predictions(it, held(("langid", made), lambda: Model(*sent.value)), names, first, last)

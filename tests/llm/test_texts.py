@@ -1,8 +1,9 @@
 """op2 to op6: round trips, held-out accuracy, brute force, and odd inputs."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given
@@ -134,3 +135,47 @@ def test_toxicity_keeps_its_scale_in_a_sample(spark, docs_of):
         got = {r.text: r for r in toxicity(d, labels, sample=sample).join(d, "doc_id").groupBy("text").agg(F.avg("p_toxic").alias("p"), F.max("is_toxic").alias("most"), F.min("is_toxic").alias("least")).collect()}
         assert not got["hmm maybe"].most and 0.2 < got["hmm maybe"].p < 0.42
         assert got["vile rubbish"].least and not got["good morning"].most
+
+
+def ppm_bits(train, text):
+    """Code length of a text by the definition: method C with exclusion, contexts of 0 to 3 bytes over 230 symbols."""
+    fold = lambda t: b"   " + "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode()
+    alphabet = [b for b in range(256) if not 65 <= b <= 90]
+    seen = defaultdict(Counter)
+    for t in map(fold, train):
+        for i in range(3, len(t)):
+            for k in range(4):
+                seen[t[i - k : i]][t[i]] += 1
+
+    def p(context, depth):
+        lower = p(context[1:], depth - 1) if depth else dict.fromkeys(alphabet, 1 / 230)
+        c = seen[context]
+        if not c:
+            return lower
+        n, rest = sum(c.values()), sum(v for b, v in lower.items() if b not in c)
+        return {b: c[b] / (n + len(c)) if b in c else len(c) / (n + len(c)) * v / rest for b, v in lower.items()}
+
+    t = fold(text)
+    return -sum(math.log2(p(t[i - 3 : i], 3)[t[i]]) for i in range(3, len(t)))
+
+
+@pytest.mark.parametrize("table_bytes", [96 << 20, 600])
+def test_language_is_that_of_the_shortest_code(spark, docs_of, table_bytes):
+    texts = {"el": ["το σπίτι", "ένα βιβλίο"], "en": ["The cat sat", "a mat"], "ja": ["猫が座る", "本"], "ru": ["кошка сидит", "дом"]}
+    asked = ["cat", "βιβλίο", "дом кота", "猫の本", "zß", "Ünï сat", "cat дом", "q"]
+    rows = [(None, t, k, None, None) for k, own in texts.items() for t in own]
+    d = docs_of([(i, *r[1:]) for i, r in enumerate(rows)] + [(100 + i, t, None, None, None) for i, t in enumerate(asked)])
+    got = {r.doc_id: r for r in identify(d, F.lit(True), table_bytes=table_bytes).collect()}
+    for i, t in enumerate(asked):
+        bits = {k: ppm_bits(own, t) for k, own in texts.items()}
+        best = min(bits, key=bits.get)
+        assert got[100 + i].lang_pred == best
+        assert got[100 + i].score == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()), abs=1e-4)
+
+
+def test_every_language_is_learnt(spark, docs_of):
+    own = lambda k: " ".join(chr(0x4E00 + 40 * k + j) for j in range(12))
+    rows = [(100 * k + j, own(k), f"l{k:03}", None, None) for k in range(90) for j in range(2 if k < 80 else 1)]
+    for table_bytes in (96 << 20, 40_000):
+        got = identify(docs_of(rows), F.lit(True), table_bytes=table_bytes)
+        assert got.filter("lang_pred = format_string('l%03d', doc_id div 100)").count() == len(rows) == got.count()
