@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kumiki.functions import text as tx
+from kumiki.operators import normalize
 from kumiki.operators import vocab as v
 from kumiki.plans.registry import query, sql_values, table, values
 
@@ -284,3 +285,13 @@ def anaphora(spark, d):
     e = table(spark, d, "events")
     found = nearest_before(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), "antecedent")
     return found.select("event_id", F.col("antecedent").isNotNull().alias("has_antecedent"), "antecedent")
+
+
+SURFACES = ["of the", "the", "in the", "that", "de la", "de", "der", "und der", "ción", "for"]
+
+
+@query("longest_match_lexicon")
+def longest_match_lexicon(spark, d):
+    """Claimed occurrences of a lexicon in whole documents; rows only, as claims of the longest have no SQL twin."""
+    hits = F.explode(normalize.lexicon_hits(SURFACES)(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", hits.alias("hit")).select("doc_id", "hit.surface", "hit.begin", "hit.end")
