@@ -128,3 +128,10 @@ def test_substring_dedup(docs_of, batches):
 def test_empty_tables(docs_of):
     d = docs_of([])
     assert exact_dedup(d).count() == dedup_rows(d).count() == substring_dedup(d).count() == jj.jaccard_components(d).count() == 0
+
+
+def test_substring_dedup_past_compaction(docs_of):
+    rows = corpus()
+    found = substring_dedup(docs_of(rows), size=35, batches=6).collect()
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found)
+    assert got == sorted((r[0], *x) for r, x in zip(rows, removed(rows, 35), strict=True))
