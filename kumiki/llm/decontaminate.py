@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kumiki.llm.shared import ascii_lower, bounded, written
+from kumiki.llm.shared import ascii_lower, bounded, without, written
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -87,22 +87,29 @@ def hits(docs: DataFrame, wins: DataFrame, max_index: int) -> DataFrame:
     return found
 
 
-def decontaminate(
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A null text has no words. Rows that repeat an id and text give equal rows. Items without words (null or empty
+    text) have no window; items that repeat an id count once, and a null item id counts as the empty string. An empty
+    table of documents gives an empty result, one of items leaves everything clean. Other columns are not looked at.
+    how: as of verdicts.
+    """
+    found = verdicts(docs, items, id_col, text_col, **how)
+    return found.select(F.col("__id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def verdicts(
     docs: DataFrame,
     items: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+    id_col: str,
+    text_col: str,
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     size: int = 10,
     max_index: int = 400_000,
 ) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A null text has no words. Rows that repeat an id and text give equal rows. Items without words (null or empty
-    text) have no window; items that repeat an id count once, and a null item id counts as the empty string. An empty
-    table of documents gives an empty result, one of items leaves everything clean. Other columns are not looked at.
-    """
+    """The result of decontaminate with __id and __tx, the xxhash64 of the text."""
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     base = base.select("__id", F.xxhash64("__text").alias("__tx"), word_list(F.col("__text")).alias("__w"))
     wins = written(windows(items, item_id_col, item_text_col, size), "windows")
@@ -140,7 +147,8 @@ def decontaminate(
     same = F.col("__id").eqNullSafe(F.col("__aid")) & (F.col("__tx") == F.col("__atx"))
     zero = F.lit(0).cast("long")
     return counts.join(agg, same, "left").select(
-        F.col("__id").alias(id_col),
+        "__id",
+        "__tx",
         "n_words",
         F.coalesce("n_hit", zero).alias("n_hit"),
         F.coalesce("n_items", zero).alias("n_items"),
@@ -150,8 +158,10 @@ def decontaminate(
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that contain no window of an item, with all their columns; an id goes with all its rows."""
-    verdict = decontaminate(docs, items, id_col, text_col, **how)
-    bad = verdict.filter("contaminated").select(F.col(id_col).alias("__bad")).distinct()
-    bad = bounded(written(bad, "contaminated"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of docs that contain no window of an item, with all their columns.
+
+    Each row is judged by its own text: other rows of its id, or without an id, stay. Null and empty texts stay.
+    Columns of any name may be present. An empty table gives an empty result, one of items leaves all rows.
+    """
+    bad = verdicts(docs, items, id_col, text_col, **how).filter("contaminated").select("__id", "__tx")
+    return without(docs, bad, id_col, text_col)

@@ -17,10 +17,14 @@ its own. Where such tokens leave too few to share, pairs are ruled out before th
 many of them to be linked with any of the others gives up its combinations. So are pairs whose parity bitmaps (256 bits
 of each set) differ in more bits than the threshold leaves tokens to differ.
 
-Documents with equal sets form one class. Within a signature's group each document is first compared with one leader,
-the linked ones are merged, and then only pairs of different components are left to compare: groups of near copies
-cost about as many comparisons as they have members, and no link between components is lost. Comparisons use the whole
-sets.
+Documents with equal sets form one class, named by the set's digest. Classes are compared in rounds: each signature's
+group takes as leader the member with the smallest share of tokens of its own (for a group of near copies that is the
+text they stem from), compares it with the members of other components, merges what is linked, and retires the leader.
+Before each round a member leaves a group where the sizes and own tokens of the others rule all of them out, and a
+group of one component is done, so that groups of near copies cost about as many comparisons as they have members.
+What is still apart after ``rounds`` rounds is paired within its group, where sizes, own tokens, parity bitmaps and the
+number of shared signatures rule pairs out as they are formed. No link is lost at any step: a bound only drops pairs
+that can't be linked. Comparisons use the whole sets.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from kumiki.llm.components import components
 from kumiki.llm.kernel import FOLD, U, splitmix, texts_of, trimmed, window_hashes, windows_per_text, word_hashes, words
-from kumiki.llm.shared import bounded, released, small_batches, written
+from kumiki.llm.shared import bounded, released, small_batches, without, without_repeats, written
 
 #: The frequent class: tokens of at least so many documents by the blocks' reports, and no more of them than this.
 FREQUENT_DOCS, FREQUENT_TOKENS = 4, 1 << 21
@@ -75,7 +79,7 @@ def parities(tokens: np.ndarray) -> list[int]:
 
 
 BITS = ["b0", "b1", "b2", "b3"]
-SET_NAMES = ["id", "n", "hi", "lo", *BITS]
+SET_NAMES = ["id", "tx", "n", "hi", "lo", *BITS]
 
 
 def set_rows(batches, k: int):
@@ -87,7 +91,7 @@ def set_rows(batches, k: int):
         u, n = np.unique(np.concatenate(block), return_counts=True)
         u, n = u[n >= BLOCK_COUNT], n[n >= BLOCK_COUNT]
         none = pa.nulls(len(u), pa.int64())
-        return pa.record_batch([none, pa.array(n, pa.int64()), pa.array(u.astype(np.int64)), *[none] * 5], SET_NAMES)
+        return pa.record_batch([none, none, pa.array(n, pa.int64()), pa.array(u.astype(np.int64)), *[none] * 5], SET_NAMES)
 
     for batch in batches:
         found: list[tuple] = []
@@ -99,7 +103,7 @@ def set_rows(batches, k: int):
                 yield counted()
                 block, held = [], 0
         columns = zip(*found, strict=True) if found else [[]] * 7
-        yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], SET_NAMES)
+        yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in columns)], SET_NAMES)
     if block:
         yield counted()
 
@@ -149,31 +153,48 @@ class Prefixes:
             return splitmix(pairs[:, 0] * U(0x9E3779B97F4A7C15) + splitmix(pairs[:, 1] + U(band + 1))) | U(1)
 
 
-def signature_rows(batches, k: int, prefixes: Prefixes):
-    """sig, id, whole: the signatures of each set; of equal sets that a task meets, the first is enough."""
-    met: set[tuple[int, int]] = set()
+def signature_rows(batches, k: int, prefixes: Prefixes, odd: dict):
+    """sig, id: the signatures of each set, under its name; and a row without sig that tells how many of them stand for
+    one token and whether all rare tokens are among them. Of equal sets that a task meets, the first is enough."""
+    met: set[int] = set()
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        sigs, owner, whole = [], [], []
-        for i, tokens in enumerate(shingle_sets(batch.column(1), k)):
-            key = digest(tokens)
-            if key in met:
+        names, sigs, size, full, single = [], [], [], [], []
+        for tokens in shingle_sets(batch.column(1), k):
+            name = name_of(tokens, odd)
+            if name in met or not len(tokens):
                 continue
             if len(met) < 200_000:
-                met.add(key)
-            own, full = prefixes.of(tokens)
+                met.add(name)
+            own, whole = prefixes.of(tokens)
+            names.append(name)
             sigs.append(own)
-            owner.append(np.full(len(own), ids[i], np.int64))
-            whole.append(np.full(len(own), full))
-        if sigs:
-            cols = [np.concatenate(sigs).astype(np.int64), np.concatenate(owner), np.concatenate(whole)]
-            yield pa.record_batch([pa.array(c) for c in cols], ["sig", "id", "whole"])
-
-
-def token_rows(batches, k: int):
+            size.append(len(own))
+            full.append(whole)
+            single.append(len(own) - int((own & U(1)).sum()))
+        if names:
+            n = sum(size)
+            name = np.array(names, np.int64)
+            sig = pa.concat_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.nulls(len(name), pa.int64())])
+            cols = [
+                sig,
+                pa.array(np.concatenate([np.repeat(name, size), name])),
+                pa.concat_arrays([pa.nulls(n, pa.bool_()), pa.array(full, pa.bool_())]),
+                pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(single, pa.int32())]),
+            ]
+            yield pa.record_batch(cols, ["sig", "id", "whole", "singles"])
+
+
+def name_of(tokens: np.ndarray, odd: dict) -> int:
+    """The first half of the set's digest, or another number if a different set has that half, too."""
+    hi, lo = digest(tokens)
+    return odd.get((hi, lo), hi) if odd else hi
+
+
+def token_rows(batches, k: int, odd: dict):
     for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(batch.column(1), k)]
-        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["id", "tokens"])
+        sets = [s for s in shingle_sets(batch.column(1), k) if len(s)]
+        names = pa.array([name_of(s, odd) for s in sets], pa.int64())
+        yield pa.record_batch([names, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
 
 
 def linked_rows(batches, percent: int):
@@ -202,59 +223,76 @@ def most_frequent(counts: DataFrame) -> np.ndarray:
     return token[np.lexsort((token, n))]
 
 
-def jaccard_components(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    k: int = 3,
-    percent: int = 90,
-) -> DataFrame:
+def named_sets(per_doc: DataFrame) -> tuple[DataFrame, dict]:
+    """Classes of equal sets (id: their name, hi, lo, n, bits, first: their smallest doc id), and the names of the sets
+    whose first half of the digest is another set's as well: by chance about one of 2 ** 64 pairs of sets."""
+    whole = per_doc.groupBy("hi", "lo", "n", *BITS).agg(F.min("id").alias("first"))
+    whole = written(whole, "classes")
+    twice = whole.groupBy("hi").agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("low")).filter("c > 1").select("hi", "low")
+    found = whole.join(F.broadcast(twice), "hi").filter("lo <> low").select("hi", "lo", F.xxhash64("hi", "lo").alias("to")).collect()
+    odd = {(r["hi"], r["lo"]): r["to"] for r in found}
+    name = F.col("hi")
+    for (hi, lo), to in odd.items():
+        name = F.when((F.col("hi") == hi) & (F.col("lo") == lo), F.lit(to)).otherwise(name)
+    return whole.withColumn("id", name), odd
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable by links).
 
     Words are lower-cased (A-Z); a document of fewer than k words has its whole sequence as one shingle, one without
     words (or a null text) has none, is linked with nothing and is its own component. Ids are whole numbers; a row
-    without an id is linked with nothing and has a null component_id. Rows that repeat an id and text give equal rows.
-    Other columns are not looked at. An empty table gives an empty result.
+    without an id is linked with nothing and has a null component_id. Rows that repeat an id and text give equal rows;
+    rows that repeat an id with other texts are documents of their own, each in the component of its text. Other
+    columns are not looked at. An empty table gives an empty result. how: as of row_components.
+    """
+    return row_components(docs, id_col, text_col, **how).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    )
+
+
+def row_components(
+    docs: DataFrame, id_col: str, text_col: str, k: int = 3, percent: int = 90, rounds: int = 2
+) -> DataFrame:
+    """id, tx (xxhash64 of the text), n (size of the set), group, component, a row for each row of docs.
+
+    group names the component: an id that repeats with other texts may be the smallest of several.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tx"))
     rows = base.mapInArrow(lambda it: trimmed(set_rows(it, k)), ", ".join(f"{c} long" for c in SET_NAMES))
     # Rows of documents without an id have a null id too; counts of tokens carry a null lo.
     rows = written(rows, "sets")
     per_doc = rows.filter("lo IS NOT NULL")
     counts = rows.filter("lo IS NULL").groupBy("hi").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_DOCS)
     prefixes = spark.sparkContext.broadcast(Prefixes(percent, most_frequent(written(counts, "frequent"))))
-
-    some = per_doc.filter("id IS NOT NULL AND n > 0")
-    classes = written(some.groupBy("hi", "lo", "n", *BITS).agg(F.min("id").alias("rep")), "classes")
-    rep_of = some.drop(*BITS).join(classes, ["hi", "lo", "n"]).select("id", "rep").filter("id <> rep").distinct()
-    rep_of = written(rep_of, "copies")
+    classes, odd = named_sets(per_doc.filter("id IS NOT NULL AND n > 0"))
 
     sigs = base.filter("id IS NOT NULL").mapInArrow(
-        lambda it: trimmed(signature_rows(it, k, prefixes.value)), "sig long, id long, whole boolean"
+        lambda it: trimmed(signature_rows(it, k, prefixes.value, odd)), "sig long, id long, whole boolean, singles int"
     )
     sigs = released(written(sigs, "signatures"))
-    copies = bounded(rep_of)
-    as_rep = sigs.join(copies, "id", "left").select("sig", F.coalesce("rep", "id").alias("id"), "whole")
-    groups = as_rep.groupBy("sig").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
-    groups = groups.filter("leader < last").select("sig", "leader")
-    members = released(written(as_rep.select("sig", "id").join(groups, "sig").distinct(), "members"))
+    shared_by = sigs.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("x"), F.max("id").alias("y"))
+    members = sigs.select("sig", "id").join(shared_by.filter("x < y").select("sig"), "sig").distinct()
+    members = released(written(members, "members"))
 
     # Tokens of a prefix that are in no other one.
     single = (F.col("sig").bitwiseAND(F.lit(1)) == 0).cast("int")
-    held = sigs.groupBy("id").agg(F.sum(single).alias("singles"), F.max("whole").alias("whole"))
-    held = held.join(copies, "id", "left").groupBy(F.coalesce("rep", "id").alias("id")).agg(
-        F.max("singles").alias("singles"), F.max("whole").alias("whole")
-    )
+    held = sigs.filter("sig IS NULL").groupBy("id").agg(F.max("singles").alias("singles"), F.max("whole").alias("whole"))
     shared = members.groupBy("id").agg(F.sum(single).alias("shared"))
-    sizes = classes.select(F.col("rep").alias("id"), "n", *BITS).dropDuplicates(["id"])
-    sized = sizes.join(shared, "id").join(held, "id").select("id", "n", *BITS, "whole", (F.col("singles") - F.col("shared")).alias("dead"))
-    most = F.col("n") * (100 - percent) / 100  # of any partner it shares percent of its own tokens at least
-    sized = written(sized.withColumn("hopeless", F.col("whole") & (F.col("dead") > most)), "sizes")
-    hopeless = bounded(written(sized.filter("hopeless").select("id"), "hopeless"))
-    combined = members.filter(single == 0).join(hopeless, "id", "left_anti")
-    members = members.filter(single == 1).unionByName(combined)
+    n = F.col("n")
+    sized = (
+        classes.select("id", "n", *BITS)
+        .join(shared, "id")
+        .join(held, "id")
+        .withColumn("dead", (F.col("singles") - F.col("shared")).cast("int"))
+        # The largest partner by the sizes, and where tokens of its own lack in the partner.
+        .withColumn("reach", F.floor(100 * n / percent))
+        .withColumn("top", F.least("reach", F.floor((n - F.col("dead")) * (100 + percent) / percent) - n))
+        .select("id", "n", *BITS, "whole", "dead", "reach", "top")
+    )
+    sized = written(sized, "sizes")
 
     def side(name: str) -> DataFrame:
         return sized.select(F.col("id").alias(name), *(F.col(c).alias(c + name) for c in ("n", "whole", "dead", *BITS)))
@@ -268,86 +306,90 @@ def jaccard_components(
         (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         & (F.col("na") - only_a >= overlap)
         & (F.col("nb") - only_b >= overlap)
-        & (only_a + only_b <= total - 2 * overlap)
         & (differ <= total - 2 * overlap)
     )
     least = F.least("na", "nb")
     spare = F.floor((least - F.floor((percent * least + 99) / 100)) / SPARE)
 
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, count) that fit and share the signatures that they need."""
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
-        return near.filter(fits & (F.col("count") >= 1 + spare)).select("a", "b", "count")
-
-    star = members.filter("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).count()
-    star = written(enough(star), "star")
-
     def token_table(pairs: DataFrame) -> DataFrame:
-        """The sets of the documents in pairs."""
+        """The sets of the classes in pairs, each made from the text of its first document."""
         busy = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        busy = bounded(written(busy, "busy"))
-        found = base.join(busy, "id", "left_semi").dropDuplicates(["id"])
-        return released(written(found.mapInArrow(lambda it: trimmed(token_rows(it, k)), "id long, tokens binary"), "tokens"))
+        at = classes.join(bounded(written(busy, "busy")), "id", "left_semi").select(F.col("first").alias("id")).distinct()
+        found = base.join(bounded(written(at, "texts")), "id", "left_semi").select("id", "text")
+        sets = found.mapInArrow(lambda it: trimmed(token_rows(it, k, odd)), "id long, tokens binary")
+        return released(written(sets.dropDuplicates(["id"]), "tokens"))
 
-    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame:
+        sets = token_table(pairs)
         with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         both = with_x.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(lambda it: trimmed(linked_rows(it, percent)), "a long, b long")
-
-    def labelled(edges: DataFrame) -> DataFrame:
-        return bounded(components(edges))
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        named = pairs.join(la, "a", "left").join(lb, "b", "left")
-        return named.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
-
-    # 1: each document and the leader with which it shares most signatures.
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-    best = written(best, "best")
-    sets = token_table(star)
-    edges = written(linked(best, sets), "links")
-    labels = labelled(edges)
-    # 2: its other leaders, where they lie in other components.
-    rest = apart(star.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
-    more = written(linked(rest, sets), "links")
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
-        labels = labelled(edges)
-    # 3: whatever pairs of a group are still in different components and haven't been compared.
-    named = members.select("sig", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    named = written(named.select("sig", "id", F.coalesce("label", "id").alias("label")), "named")
-    mixed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    open_ = written(named.join(mixed, "sig", "left_semi"), "open")
+        return written(both.mapInArrow(lambda it: trimmed(linked_rows(it, percent)), "a long, b long"), "links")
+
+    def relabelled(part: DataFrame) -> DataFrame:
+        return part.join(labels, "id", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+    open_ = members.join(sized.drop(*BITS), "id").withColumn("label", F.col("id"))
+    edges = done = labels = None
+    for _ in range(rounds):
+        lead = F.min_by(F.struct("id", "label", "n"), F.struct(F.col("dead") / F.col("n"), F.col("id")))
+        groups = open_.groupBy("sig").agg(
+            F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("low"), F.min("whole").alias("all_whole"),
+            F.max("top").alias("far_top"), F.max("reach").alias("far"), lead.alias("lead"),
+        )
+        own = F.when(F.col("all_whole"), F.col("top")).otherwise(F.col("reach"))
+        theirs = F.when(F.col("all_whole"), F.col("far_top")).otherwise(F.col("far"))
+        left = open_.join(groups.filter("x <> y"), "sig").filter((own >= F.col("low")) & (theirs >= F.col("n")))
+        # The leader's component needs only those that can be linked with a member of another one.
+        alien = left.filter("label <> lead.label").groupBy("sig").agg(
+            F.min("n").alias("alien_low"), F.max(F.when(F.col("all_whole"), F.col("top")).otherwise(F.col("reach"))).alias("alien_far")
+        )
+        near = (own >= F.col("alien_low")) & (F.col("alien_far") >= F.col("n"))
+        left = left.join(alien, "sig").filter(near | F.expr("label <> lead.label"))
+        left = written(left.select(*open_.columns, "lead"), "open")
+        pairs = left.filter("label <> lead.label").select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b")
+        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        more = linked(pairs)
+        edges = more if edges is None else edges.unionByName(more)
+        done = pairs if done is None else done.unionByName(pairs)
+        labels = bounded(components(edges).select(F.col("node").alias("id"), F.col("label").alias("to")))
+        open_ = released(written(relabelled(left.filter("id <> lead.id").drop("lead")), "open"))
+        if open_.isEmpty():
+            break
+    # What pairs of a group are still in different components and haven't been compared.
+    mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
+    rest = written(open_.select("sig", "id", "label").join(mixed, "sig", "left_semi").join(sized.drop("reach", "top"), "id"), "rest")
 
     def half(name: str) -> DataFrame:
-        return open_.select("sig", F.col("id").alias(name), F.col("label").alias("l" + name)).join(side(name), name)
-
-    crossing = half("a").join(half("b"), "sig").filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & fits)
-    crossing = enough(crossing.groupBy("a", "b").count())
-    crossing = (
-        crossing.select("a", "b")
-        .join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    crossing = written(crossing, "crossing")
-    more = written(linked(crossing, token_table(crossing)), "links")
-    if not more.isEmpty():
-        labels = labelled(edges.unionByName(more))
-
-    named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
-        "hi", "lo", "n", F.coalesce("label", "rep").alias("component")
-    )
-    named = released(written(named, "components"))
+        return rest.select("sig", *(F.col(c).alias(f"{c}{name}" if c != "id" else name) for c in rest.columns if c != "sig"))
+
+    both = half("a").join(half("b"), "sig").filter((F.col("a") > F.col("b")) & (F.col("labela") != F.col("labelb")) & fits)
+    crossing = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.first(spare).alias("spare"))
+    crossing = written(crossing.filter("count > spare").select("a", "b"), "crossing")
+    known = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    crossing = written(crossing.join(known, ["a", "b"], "left_anti"), "crossing")
+    if not crossing.isEmpty():
+        labels = components(edges.unionByName(linked(crossing))).select(F.col("node").alias("id"), F.col("label").alias("to"))
+
+    named = classes.select("id", "hi", "lo", "n", "first").join(labels, "id", "left").withColumn("to", F.coalesce("to", "id"))
+    smallest = named.groupBy("to").agg(F.min("first").alias("component"))
+    named = released(written(named.join(smallest, "to").select("hi", "lo", "n", F.col("to").alias("group"), "component"), "components"))
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return per_doc.join(named, ["hi", "lo", "n"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id")
-    )
+    return per_doc.join(named, ["hi", "lo", "n"], "left").select("id", "tx", "n", "group", alone.alias("component"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
-    found = jaccard_components(docs, id_col, text_col, **how)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    gone = bounded(written(gone, "near-copies"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """One row of each component, with all its columns: that of the smallest id.
+
+    Of rows with this id and other texts of the component one stays, and one of rows that repeat id and text. Rows
+    without an id, a text or words are linked with nothing and stay. Columns of any name may be present. An empty
+    table gives an empty result.
+    """
+    found = written(row_components(docs, id_col, text_col, **how).filter("id IS NOT NULL AND n > 0"), "row-components")
+    stays = found.groupBy("group").agg(F.min(F.struct("id", "tx")).alias("one"), F.count(F.lit(1)).alias("rows"))
+    stays = written(stays.filter("rows > 1").select("group", "one"), "stays")
+    of_many = written(found.select("id", "tx", "group").join(stays, "group"), "near-copies")
+    here = (F.col("id") == F.col("one.id")) & (F.col("tx") == F.col("one.tx"))
+    left = without(docs, of_many.filter(~here).select("id", "tx"), id_col, text_col)
+    twice = of_many.filter(here).groupBy("id", "tx").count().filter("count > 1").select("id", "tx")
+    return without_repeats(left, twice, id_col, text_col)

@@ -71,6 +71,38 @@ def bounded(df: DataFrame, max_rows: int = 400_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case of their letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, with all their columns, whose id and text aren't listed in bad (id, xxhash64 of the text)."""
+    i, t = unused(docs, "bad_id", "bad_text")
+    bad = bounded(written(bad.toDF(i, t).distinct(), "rejected"))
+    same = docs[id_col].eqNullSafe(bad[i]) & F.xxhash64(docs[text_col]).eqNullSafe(bad[t])
+    return docs.join(bad, same, "left_anti")
+
+
+def without_repeats(docs: DataFrame, twice: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, but one row only of those that share an id and text listed in twice (id, xxhash64 of the text)."""
+    twice = written(twice.distinct(), "repeats")
+    if twice.isEmpty():
+        return docs
+    i, t, tx = unused(docs, "twice_id", "twice_text", "text_hash")
+    twice = bounded(twice.toDF(i, t))
+    rows = docs.withColumn(tx, F.xxhash64(docs[text_col]))
+    same = rows[id_col].eqNullSafe(twice[i]) & rows[tx].eqNullSafe(twice[t])
+    once = rows.join(twice, same, "left_semi").dropDuplicates([id_col, tx])
+    return rows.join(twice, same, "left_anti").unionByName(once).drop(tx)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. A text of ASCII characters alone takes the faster way."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
