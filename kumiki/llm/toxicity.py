@@ -5,7 +5,7 @@ probabilities of the categories before it. For training, those probabilities are
 model sees earlier ones as wrong as they will be on new texts.
 
 Features are the distinct words of a text and their beginnings of 4 to 6 bytes, hashed to ``1 << BITS`` places; each
-model keeps the ``FEATURES`` places whose presence differs most between its classes. Models are fitted on a sample of
+model uses all places whose presence differs significantly between its classes. Models are fitted on a sample of
 labelled rows, chosen by a hash of their id: about ``sample / 2`` documents that have the last category and as many
 that don't. A row counts for as many as its kind was cut to, in the loss and in what features are chosen, so that
 probabilities and the threshold keep the scale of all labelled rows. Every document is scored as a whole.
@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kumiki.llm.kernel import FOLD, U, _B, _byte_values, byte_table, powers, splitmix, texts_of, trimmed, words
-from kumiki.llm.shared import bounded, small_batches, written
+from kumiki.llm.shared import bounded, small_batches, without, written
 
-BITS, FEATURES, FOLDS, SAMPLE_DOCS = 20, 2500, 4, 6_000
+BITS, FOLDS, SAMPLE_DOCS = 20, 4, 6_000
+#: A feature is used if the likelihood ratio statistic of its presence and the class is at least this (about 1 in 200
+#: by chance).
+SIGNIFICANT = 8.0
 PREFIXES = (4, 5, 6)
 WORD = byte_table(lambda b: b >= 0x80 or chr(b).isalnum())
 
@@ -58,27 +61,34 @@ def feature_rows(batches):
             offs.append(cut[1:] + offs[-1][-1])
         values = pa.array(np.concatenate(lists).astype(np.int32) if lists else [], pa.int32())
         col = pa.ListArray.from_arrays(pa.array(np.concatenate(offs).astype(np.int32)), values)
-        yield pa.record_batch([batch.column(0), col], ["id", "places"])
+        yield pa.record_batch([batch.column(0), batch.column(2), col], ["id", "tx", "places"])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def likelihood_ratio(with_one: np.ndarray, with_zero: np.ndarray, ones: int, zeros: int) -> np.ndarray:
+    """Of each place: twice the log of how much likelier its presence is if it depends on the class than if not."""
+    met = with_one + with_zero
+    out = np.zeros(len(met))
+    for seen, size in ((with_one, ones), (with_zero, zeros)):
+        for count, all_of in ((seen, met), (size - seen, ones + zeros - met)):
+            expected = all_of * (size / (ones + zeros))
+            out += 2 * np.where(count > 0, count * np.log(np.maximum(count, 1) / np.maximum(expected, 1e-9)), 0)
+    return out
+
+
 class Linear:
     """Logistic regression on chosen places and dense columns, of rows with weights."""
 
     def __init__(
         self, rows: np.ndarray, flat: np.ndarray, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150
     ):
-        n, one = len(y), max(1, int((y > 0).sum()))
-        zero = max(1, n - one)
+        n, one = len(y), int((y > 0).sum())
         ones, zeros = weight[y > 0].sum(), weight[y == 0].sum()
-        on, off = y[rows] > 0, y[rows] == 0
-        hit = np.minimum(np.bincount(flat[on], weight[rows[on]], 1 << BITS) / ones, 1)
-        miss = np.minimum(np.bincount(flat[off], weight[rows[off]], 1 << BITS) / zeros, 1)
-        apart = np.abs(hit - miss) / np.sqrt(hit * (1 - hit) / one + miss * (1 - miss) / zero + 1 / one**2)
-        best = np.argsort(-apart, kind="stable")[:FEATURES]
+        seen = [np.bincount(flat[rows_of], minlength=1 << BITS).astype(float) for rows_of in (y[rows] > 0, y[rows] == 0)]
+        best = np.flatnonzero(likelihood_ratio(*seen, one, n - one) >= SIGNIFICANT)
         self.column = np.full(1 << BITS, -1, np.int32)
         self.column[best] = np.arange(len(best))
         rows, cols = self._chosen(rows, flat)
@@ -88,7 +98,7 @@ class Linear:
         for step in range(1, steps + 1):
             p = sigmoid(np.bincount(rows, w[cols], n) + dense @ v + b)
             err = (p - y) * share
-            g = np.concatenate([np.bincount(cols, err[rows], len(w)) + 1e-5 * w, dense.T @ err + 1e-5 * v, [err.sum()]])
+            g = np.concatenate([np.bincount(cols, err[rows], len(w)) + 1e-5 * w, dense.T @ err + 1e-3 * v, [err.sum()]])
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
             w, v, b = w - move[: len(w)], v - move[len(w) : -1], b - move[-1]
@@ -146,9 +156,9 @@ def score_rows(batches, chain: Chain, names: list[str], threshold: float):
         for t in texts_of(batch.column(1)):
             flat, cut = places(t)
             parts.append(chain.predict(np.repeat(np.arange(len(t)), np.diff(cut)), flat, len(t)))
-        p = np.concatenate(parts) if parts else np.zeros((0, len(names) - 2))
+        p = np.concatenate(parts) if parts else np.zeros((0, len(chain.models)))
         cols = [pa.array(p[:, i]) for i in range(p.shape[1])]
-        yield pa.record_batch([batch.column(0), *cols, pa.array(p[:, -1] >= threshold)], names)
+        yield pa.record_batch([batch.column(0), *cols, pa.array(p[:, -1] >= threshold), *batch.columns[2:]], names)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str, text_col: str, sample: int) -> Chain:
@@ -163,15 +173,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str,
     kept = F.when(last, F.lit(share.get(True, 1.0))).otherwise(F.lit(share.get(False, 1.0)))
     tags = tags.filter(part < kept * (1 << 20)).withColumn("weight", 1 / kept)
     tags = bounded(written(tags, "labels"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(tags.select("id"), "id", "left_semi")
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tx")
+    ).join(tags.select("id"), "id", "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(feature_rows, f"id {kind}, places array<int>").join(tags, "id").toArrow().sort_by("id")
+    found = rows.mapInArrow(feature_rows, f"id {kind}, tx long, places array<int>").join(tags, "id").toArrow()
+    found = found.sort_by([("id", "ascending"), ("tx", "ascending")])
     lists = found["places"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     size = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-    fold = np.arange(len(size)) % FOLDS
+    # Equal texts share a fold, so that no model of a fold has seen a text that it is asked about.
+    fold = (splitmix(found["tx"].to_numpy().astype(U)) % U(FOLDS)).astype(int)
     ys = [found[f"y{i}"].to_numpy().astype(float) for i in range(len(categories))]
     return Chain(np.repeat(np.arange(len(size), dtype=np.int32), size), flat, ys, fold, found["weight"].to_numpy().astype(float))
 
@@ -192,15 +206,22 @@ def toxicity(
     share (0 without any), so without labels nothing is rejected. Repeated rows give equal rows. Other columns are not
     looked at. An empty table gives an empty result.
     """
+    return scored(docs, labels, list(categories), id_col, text_col, threshold, sample)
+
+
+def scored(
+    docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str, text_col: str, threshold: float, sample: int, *more: str
+) -> DataFrame:
+    """The result of toxicity, with more columns of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    chain = spark.sparkContext.broadcast(fit(docs, labels, list(categories), id_col, text_col, sample))
-    source = docs.select(id_col, text_col)
-    last = f"is_{categories[-1]}"
+    chain = spark.sparkContext.broadcast(fit(docs, labels, categories, id_col, text_col, sample))
+    source = docs.select(id_col, text_col, *more)
     schema = T.StructType(
         [source.schema[0]]
         + [T.StructField(f"p_{c}", T.DoubleType()) for c in categories]
-        + [T.StructField(last, T.BooleanType())]
+        + [T.StructField(f"is_{categories[-1]}", T.BooleanType())]
+        + source.schema.fields[2:]
     )
     return source.mapInArrow(lambda it: trimmed(score_rows(it, chain.value, schema.names, threshold)), schema)
 
@@ -210,9 +231,22 @@ def with_categories(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic").alias("toxic"))
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that aren't rejected, with all their columns; an id is rejected with all its rows."""
-    found = toxicity(docs, labels, id_col=id_col, text_col=text_col, **how)
-    bad = found.filter("is_toxic").select(F.col(id_col).alias("__bad")).distinct()
-    bad = bounded(written(bad, "toxic"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def fit_rows(
+    docs: DataFrame,
+    labels: DataFrame,
+    categories: tuple[str, ...] = ("low_quality", "toxic"),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.5,
+    sample: int = SAMPLE_DOCS,
+) -> DataFrame:
+    """The rows of docs that aren't rejected, with all their columns.
+
+    Each row is judged by its own text: other rows of its id, or without an id, stay. A null or empty text gets the
+    models' constants, which reject it only if most labelled documents are toxic. Columns of any name may be present.
+    Without labels all rows stay; an empty table gives an empty result.
+    """
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tx"))
+    tags = labels.select(F.col(id_col).alias("id"), *categories)
+    found = scored(plain, tags, list(categories), "id", "text", threshold, sample, "tx")
+    return without(docs, found.filter(F.col(f"is_{categories[-1]}")).select("id", "tx"), id_col, text_col)
