@@ -15,6 +15,7 @@ HIRAGANA = "\\u3040-\\u309F"
 LATIN = "A-Za-z\\uFF21-\\uFF3A\\uFF41-\\uFF5A"
 DIGIT = "0-9\\uFF10-\\uFF19"
 SPACE = " \\t\\n\\r\\u3000\\u00A0"
+BLANKS = " \t\n\r\u3000\u00a0"
 CATEGORIES = {
     "KANJI": KANJI, "KATAKANA": KATAKANA, "HIRAGANA": HIRAGANA, "LATIN": LATIN, "DIGIT": DIGIT, "SPACE": SPACE,
 }
@@ -39,7 +40,7 @@ def category_runs(text: Column, keep_space: bool = False) -> Column:
 
 def chars(text: Column) -> Column:
     """The characters of a text but white space: the tokens of last resort."""
-    return F.filter(F.split(text, ""), lambda c: ~c.rlike(f"^[{SPACE}]") & (c != ""))
+    return F.array_remove(F.split(F.translate(text, BLANKS, ""), ""), "")
 
 
 def ngrams(text: Column, n: int = 2) -> Column:

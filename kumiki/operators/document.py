@@ -37,23 +37,29 @@ def mention_links(mentions: DataFrame) -> DataFrame:
     return same.unionByName(prefix.select("text_id", "a", "b")).filter("a <> b").distinct()
 
 
-def mention_components(links: DataFrame, nodes: DataFrame, key: str = "text_id", rounds: int = 30) -> DataFrame:
-    """key, node, label: the smallest node of each component, by rounds of least labels with a checkpoint each."""
+def mention_components(links: DataFrame, nodes: DataFrame, key: str = "text_id") -> DataFrame:
+    """key, node, label: the smallest node of each component, by rounds of least labels until none changes.
+
+    Each round is checkpointed to the folder of spark.checkpoint.dir; where that is unset, one is made only if the
+    session runs on this machine alone.
+    """
     spark = links.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kumiki-"))
     both = links.select(key, "a", "b").unionByName(links.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select(key, "node", F.col("node").alias("label")).distinct().checkpoint()
-    for _ in range(rounds):
+    moved = True
+    while moved:
         near = both.join(labels.select(key, F.col("node").alias("b"), "label"), [key, "b"]).groupBy(key, F.col("a").alias("node")).agg(F.min("label").alias("low"))
         step = labels.join(near, [key, "node"], "left").select(key, "node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
         far = step.select(key, F.col("node").alias("label"), F.col("label").alias("to"))
         step = step.join(far, [key, "label"], "left").select(key, "node", "old", F.least("label", "to").alias("label")).checkpoint()
         labels = step.select(key, "node", "label")
-        if step.filter("old <> label").isEmpty():
-            break
+        moved = not step.filter("old <> label").isEmpty()
     return labels
 
 

@@ -1,11 +1,16 @@
 """Retrieval over DataFrames: postings, BM25, TF-IDF, vector top-k, fusion, filters, reranking and metrics.
 
-A collection is (doc_id, term, tf) postings. Statistics and scores are aggregations and equi-joins on the term; the
-terms of the queries are broadcast only if their number is bounded, and a ranking is cut by a window per query.
+A collection holds the terms of each document, made once and kept for all rankings over it. Postings are dealt by
+document, so that counts, norms and scores of a document are summed where they are and only a ranking's candidates move.
+What is broadcast is decided by a count of the query side, or of the vocabulary where that has been made anyway; a
+ranking is cut by a window per query, of which each task hands on its best rows alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ HYBRID_WEIGHTS = {
     "keyword_overlap": 0.15, "intent_match": 0.05, "time_match": 0.00, "topic_match": 0.00, "sentiment_match": 0.00,
 }
 MAX_BROADCAST = 200_000
+#: Query vectors that are compared with all rows in one go.
+MAX_QUERIES = 20_000
 
 
 def few(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
@@ -47,37 +54,70 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, terms: Column, query_id: str, query_words: Column, k1=1.5, b=0.75) -> DataFrame:
+class Collection:
+    """The terms of documents (doc_id, terms), and their postings (doc_id, term, tf), dealt by document."""
+
+    def __init__(self, docs: DataFrame, id_col: str, terms: Column):
+        self.listed = docs.select(F.col(id_col).alias("doc_id"), terms.alias("terms")).persist(StorageLevel.MEMORY_AND_DISK)
+        self._postings: DataFrame | None = None
+
+    def size(self) -> DataFrame:
+        """One row: n, avg_len."""
+        return self.listed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avg_len"))
+
+    def exploded(self) -> DataFrame:
+        return self.listed.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+
+    def postings(self) -> DataFrame:
+        if self._postings is None:
+            dealt = self.exploded().repartition("doc_id")
+            counted = dealt.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+            self._postings = counted.persist(StorageLevel.MEMORY_AND_DISK)
+        return self._postings
+
+    def of_terms(self, known: DataFrame) -> DataFrame:
+        """The postings of the terms in known alone."""
+        if self._postings is not None:
+            return self._postings.join(known, "term", "left_semi")
+        dealt = self.exploded().join(known, "term", "left_semi").repartition("doc_id")
+        return dealt.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def hinted(few_rows: bool):
+    return F.broadcast if few_rows else lambda df: df
+
+
+def bm25(docs: DataFrame | Collection, queries: DataFrame, id_col: str, terms: Column, query_id: str, query_words: Column, k1=1.5, b=0.75) -> DataFrame:
     """query_id, doc_id, score of every document that shares a term with a query."""
+    held = docs if isinstance(docs, Collection) else Collection(docs, id_col, terms)
     asked = query_terms(queries, query_id, query_words)
-    known = few(asked.select("term").distinct())
-    length = docs.select(F.col(id_col).alias("doc_id"), F.size(terms).alias("len"))
-    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    # Terms first, then their number and the explosion: else the terms would be made anew for every exploded row.
-    listed = docs.select(F.col(id_col).alias("doc_id"), terms.alias("terms"))
-    wanted = listed.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    tf = wanted.join(known, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hint = hinted(asked.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST)  # idf has no more terms than the queries
+    tf = held.of_terms(hint(asked.select("term").distinct()))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", weight.alias("idf"), "avg_len")  # stats is one row
+    idf = df.crossJoin(F.broadcast(held.size())).select("term", weight.alias("idf"), "avg_len")  # size is one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(few(idf), "term").join(few(asked), "term")
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("qtf")).alias("score"))
+    scored = tf.join(hint(idf), "term").select("doc_id", "term", part.alias("part")).join(hint(asked), "term")
+    return scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
 
 
-def tfidf_cosine(docs: DataFrame, queries: DataFrame, id_col: str, terms: Column, query_id: str, query_words: Column) -> DataFrame:
+def tfidf_cosine(docs: DataFrame | Collection, queries: DataFrame, id_col: str, terms: Column, query_id: str, query_words: Column) -> DataFrame:
     """query_id, doc_id, score: cosine of (1 + ln tf) * idf vectors; a term that no document has weighs ln(n+1)+1."""
-    tf = postings(docs, id_col, terms)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    held = docs if isinstance(docs, Collection) else Collection(docs, id_col, terms)
+    tf, n = held.postings(), held.size().select("n")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighted = tf.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n is one row
+    idf = idf.persist(StorageLevel.MEMORY_AND_DISK)
+    asked = query_terms(queries, query_id, query_words)
+    hint = hinted(asked.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST)
+    weighted = tf.join(hinted(idf.count() <= MAX_BROADCAST)(idf), "term")
+    weighted = weighted.select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = query_terms(queries, query_id, query_words).join(idf, "term", "left").crossJoin(F.broadcast(n))
+    asked = asked.join(idf, "term", "left").crossJoin(F.broadcast(n))
     asked = asked.withColumn("qw", (1 + F.log("qtf")) * F.coalesce("idf", F.log(F.col("n") + 1) + 1)).select("query_id", "term", "qw")
     q_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    raw = weighted.select("doc_id", "term", "w").join(few(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return raw.join(norms, "doc_id").join(few(q_norm), "query_id").select(
+    raw = weighted.join(hint(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return raw.join(norms, "doc_id").join(hint(q_norm), "query_id").select(
         "query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")
     )
 
@@ -85,7 +125,13 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, id_col: str, terms: Column
 def cosine_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """The k nearest of every query vector, itself left out: a stated, bounded set of queries against all rows."""
     unit = lambda d, name, v: d.select(F.col(id_col).alias(name), F.col(vec_col).alias(v))
-    pairs = unit(vectors, "doc_id", "v").join(F.broadcast(unit(queries, "query_id", "q")), F.col("doc_id") != F.col("query_id"))
+    asked = unit(queries, "query_id", "q")
+    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:  # in blocks, each against all rows
+        blocks = max(2, -(-asked.count() // MAX_QUERIES))
+        block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks))
+        parts = [cosine_topk(vectors, queries.filter(block == i), id_col, vec_col, k) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    pairs = unit(vectors, "doc_id", "v").join(F.broadcast(asked), F.col("doc_id") != F.col("query_id"))
     return top_k(pairs.select("query_id", "doc_id", cosine(F.col("v"), F.col("q")).alias("score")), k)
 
 

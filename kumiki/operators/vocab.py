@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +17,18 @@ FORMAT = "1.0"
 def count_pieces(texts: DataFrame, text_col: str, pieces: Column) -> DataFrame:
     """piece, freq: how often each piece occurs; every character of a text is there too, with 0 if it is no piece."""
     met = texts.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("freq"))
-    single = texts.select(F.explode(chars(F.col(text_col))).alias("piece")).distinct().withColumn("freq", F.lit(0).cast("long"))
+    single = texts.select(F.explode(F.array_distinct(chars(F.col(text_col)))).alias("piece")).distinct().withColumn("freq", F.lit(0).cast("long"))
     return met.unionByName(single).groupBy("piece").agg(F.max("freq").alias("freq"))
 
 
 def ranked(counts: DataFrame, order: list[Column]) -> DataFrame:
     """Dense ranks over the whole table without one task: ranks within key ranges, moved by the sizes before them.
 
-    The offsets are one row for each partition of the range sort, so they are few whatever the table's size.
+    The offsets are one row for each partition of the range sort, so they are few whatever the table's size. The dealt
+    table is kept, so that both its readers see the same partitions.
     """
     dealt = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     own = Window.partitionBy("__part").orderBy(*order)
     dealt = dealt.withColumn("__n", F.row_number().over(own))
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kumiki.plans import registry, retrieval, semantics, texts, understanding  # noqa: F401
+from kumiki.plans import more, registry, retrieval, semantics, texts, understanding  # noqa: F401
 
 FLAGSHIP = "bm25_topk"
 

@@ -49,9 +49,19 @@ def words(c: str):
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def ranking(spark, d, kind=r.bm25) -> DataFrame:
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return kind(docs, items, "doc_id", words("text"), "item_id", words("text"))
+def collection(spark, d) -> r.Collection:
+    return r.Collection(table(spark, d, "documents"), "doc_id", words("text"))
+
+
+def ranking(spark, d, kind=r.bm25, held=None) -> DataFrame:
+    return kind(held or collection(spark, d), table(spark, d, "benchmark"), "doc_id", words("text"), "item_id", words("text"))
+
+
+def both_rankings(spark, d, k: int) -> tuple[DataFrame, DataFrame]:
+    """The best of TF-IDF and BM25 over one collection, whose terms are counted once."""
+    held = collection(spark, d)
+    held.postings()
+    return r.top_k(ranking(spark, d, r.bm25, held), k), r.top_k(ranking(spark, d, r.tfidf_cosine, held), k)
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 10")
@@ -88,8 +98,7 @@ def cosine_topk(spark, d):
     SELECT query_id, doc_id, score, rank FROM g WHERE rank <= 10""",
 )
 def rrf_fusion(spark, d):
-    both = [r.top_k(ranking(spark, d), 50), r.top_k(ranking(spark, d, r.tfidf_cosine), 50)]
-    return r.top_k(r.rrf(both), 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return r.top_k(r.rrf(list(both_rankings(spark, d, 50))), 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -102,7 +111,7 @@ def rrf_fusion(spark, d):
     SELECT query_id, doc_id, score, rank FROM g WHERE rank <= 10""",
 )
 def hybrid_fusion(spark, d):
-    fused = r.hybrid(r.top_k(ranking(spark, d), 50), r.top_k(ranking(spark, d, r.tfidf_cosine), 50), 0.3)
+    fused = r.hybrid(*both_rankings(spark, d, 50), 0.3)
     return r.top_k(fused, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -192,20 +192,6 @@ def keyword_tiers(spark, d):
     return sm.keyword_tiers(c).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(
-    "mail_labels",
-    """SELECT conv_id, turn, count(*) AS lines, count(*) FILTER (regexp_matches(l, '^\\s*>')) AS quoted,
-        count(*) FILTER (regexp_matches(l, '^\\s*(Dear|Hi|Hello)\\b')) AS salutations
-    FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM conversations) GROUP BY ALL""",
-)
-def mail_lines(spark, d):
-    lines = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("l"))
-    return lines.groupBy("conv_id", "turn").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.col("l").rlike("^\\s*>").cast("long")).alias("quoted"),
-        F.sum(F.col("l").rlike("^\\s*(Dear|Hi|Hello)\\b").cast("long")).alias("salutations"),
-    )
-
-
 @query(
     "mention_components",
     """WITH RECURSIVE n AS (SELECT n_regionkey AS g, n_nationkey AS k, n_name FROM nation),
@@ -240,9 +226,41 @@ def grouping_sets(spark, d):
     )
 
 
-@query("full_analyze")
+STOP = [("the",), ("of",), ("and",)]
+
+
+def plan_lexicons(spark):
+    from kumiki.operators.plan import Lexicons
+
+    _, emotion, entity = lexicons(spark)
+    rules = values(spark, "intent string, pattern string, score double, priority int", RULES)
+    return Lexicons(emotion, entity, rules, values(spark, "surface string", STOP))
+
+
+#: Tokens of Latin text: words, digits and single symbols.
+PIECES = "regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_\\-]*|[0-9]+|[^\\sA-Za-z0-9]')"
+EMO = f"SELECT surface, arg_max(base_emotion, seq) AS base, arg_max(polarity, seq) AS tone, arg_max(intensity, seq)::DOUBLE AS intensity FROM {sql_values(EMOTION_C, EMOTION)} GROUP BY 1"
+
+
+@query(
+    "full_analyze",
+    f"""WITH d AS (SELECT conv_id * 1000 + turn AS text_id, text, {PIECES} AS t FROM conversations),
+    w AS (SELECT text_id, unnest(t) AS piece FROM d),
+    h AS (SELECT text_id, base, tone, intensity, 0.5 + 0.2 * intensity AS conf FROM w JOIN ({EMO}) e ON lower(piece) = e.surface),
+    a AS (SELECT text_id, count(*) AS hits, round(sum(intensity * conf) / greatest(1.0, sum(conf)), 4)::DOUBLE AS intensity FROM h GROUP BY 1),
+    s AS (SELECT text_id, base, round(sum(intensity * conf), 9) AS v FROM h GROUP BY ALL),
+    g AS (SELECT text_id, string_agg(base, ',' ORDER BY base) AS felt FROM s GROUP BY 1)
+    SELECT d.text_id, CAST(len(t) AS BIGINT) AS tokens, md5(array_to_string(t, ' ')) AS pieces, coalesce(hits, 0) AS hits, intensity, felt
+    FROM d LEFT JOIN a USING (text_id) LEFT JOIN g USING (text_id)""",
+)
 def full_analyze(spark, d):
-    from kumiki.operators.analyze import analyze
+    from kumiki.operators.plan import sentence_plan
 
     texts = table(spark, d, "conversations").withColumn("text_id", F.col("conv_id") * 1000 + F.col("turn"))
-    return analyze(texts, "text_id", "text").select("text_id", F.to_json("analysis").alias("analysis"))
+    found = sentence_plan(texts, "text_id", "text", plan_lexicons(spark))
+    a = F.col("analysis")
+    return found.select(
+        "text_id", F.size(a["tokens"]).cast("long").alias("tokens"), F.md5(F.array_join(a["tokens"]["surface"], " ").cast("binary")).alias("pieces"),
+        F.coalesce("affect.n", F.lit(0)).cast("long").alias("hits"), F.col("affect.intensity").alias("intensity"),
+        F.array_join(F.array_sort(F.map_keys("emotion")), ",").alias("felt"),
+    )

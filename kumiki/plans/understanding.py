@@ -49,24 +49,24 @@ def search_terms(spark, d):
 @query(
     "rerank_features",
     f"""WITH b AS (SELECT item_id, list_distinct({WORDS}) AS kw FROM benchmark),
-    p AS (SELECT x.item_id AS a, y.item_id AS b, x.kw AS k, y.kw AS c, len(list_intersect(x.kw, y.kw)) AS o FROM b x, b y WHERE x.item_id < 5)
+    p AS (SELECT x.item_id AS a, y.item_id AS b, x.kw AS k, y.kw AS c, len(list_intersect(x.kw, y.kw)) AS o FROM b x, b y WHERE x.item_id % 100 = 0)
     SELECT a, b, round(o / len(k), 6) AS keyword_overlap, CASE WHEN a % 2 = 0 THEN CASE WHEN b % 3 = 0 THEN 1.0 ELSE 0.0 END END::DOUBLE AS time_match,
-        CASE WHEN a = 1 THEN CASE WHEN b % 2 = 1 THEN 1.0 ELSE 0.0 END END::DOUBLE AS intent_match FROM p""",
+        CASE WHEN a % 200 = 100 THEN CASE WHEN b % 2 = 1 THEN 1.0 ELSE 0.0 END END::DOUBLE AS intent_match FROM p""",
 )
 def rerank_features(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.array_distinct(words()).alias("kw"))
     none = F.array().cast("array<string>")
-    x = b.filter("item_id < 5").select(
+    x = b.filter("item_id % 100 = 0").select(  # the stated queries, against all items
         F.col("item_id").alias("a"), F.col("kw").alias("keywords"), none.alias("expanded"), none.alias("topics"), none.alias("entities"),
         F.when(F.col("item_id") % 2 == 0, F.array(F.lit("FY2026"))).otherwise(none).alias("times"), F.lit(None).cast("string").alias("sentiment"),
-        F.when(F.col("item_id") == 1, "DATE").alias("answer_type"),
+        F.when(F.col("item_id") % 200 == 100, "DATE").alias("answer_type"),
     )
     y = b.select(
         F.col("item_id").alias("b"), F.col("kw").alias("c_keywords"), none.alias("c_topics"), none.alias("c_entities"), F.lit("x").alias("c_sentiment"),
         F.when(F.col("item_id") % 3 == 0, F.array(F.lit("2026-05-01"))).otherwise(F.array(F.lit("2025"))).alias("c_times"),
         F.when(F.col("item_id") % 2 == 1, F.array(F.lit("TIME"))).otherwise(F.array(F.lit("PERSON"))).alias("c_types"),
     )
-    out = q.rerank_features(y.join(F.broadcast(x)))  # five queries against all items
+    out = q.rerank_features(y.join(F.broadcast(x)))
     return out.select("a", "b", F.round("keyword_overlap", 6).alias("keyword_overlap"), "time_match", "intent_match")
 
 

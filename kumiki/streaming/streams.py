@@ -52,21 +52,17 @@ def rate_limit_stream(calls: DataFrame, limit: int, window: float = WINDOW_S) ->
 
 def vocab_sink(texts: DataFrame, path: str, pieces: Column, checkpoint: str):
     """A streaming query that appends new pieces of each micro-batch to a Parquet vocabulary; known ids never change."""
-    from pyspark.sql import Window
-
-    from kumiki.operators.vocab import FIRST_ID
+    from kumiki.operators.vocab import FIRST_ID, ranked
 
     def grow(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         met = batch.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("freq"))
-        try:
-            known = spark.read.parquet(path)
-        except Exception:
-            known = spark.createDataFrame([], "piece string, id long, freq long")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        known = spark.read.parquet(path) if there else spark.createDataFrame([], "piece string, id long, freq long")
         last = known.agg(F.coalesce(F.max("id"), F.lit(FIRST_ID - 1))).first()[0]
-        fresh = met.join(known.select("piece"), "piece", "left_anti")
-        order = Window.orderBy(F.desc("freq"), "piece")  # the new pieces of one micro-batch
-        fresh.select("piece", (F.row_number().over(order) + F.lit(last)).cast("long").alias("id"), "freq").write.mode("append").parquet(path)
+        fresh = ranked(met.join(known.select("piece"), "piece", "left_anti"), [F.desc("freq"), F.asc("piece")])
+        fresh.select("piece", (F.col("rank") + F.lit(last)).cast("long").alias("id"), "freq").write.mode("append").parquet(path)
 
     return texts.writeStream.foreachBatch(grow).option("checkpointLocation", checkpoint)
 
