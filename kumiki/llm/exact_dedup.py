@@ -76,12 +76,13 @@ def row_verdicts(
     whole = merge_tree(first, rounds, fan_in, keep).select(
         *KEY, F.col("__keep").alias("keep_id"), F.col("__n").alias("group_size")
     )
-    entries = written(first.select("__run", *KEY).join(whole, KEY), "entries")
-    same = Window.partitionBy("__run", *KEY, "__id").orderBy("__tx")
     # An identifier may have equal texts in several runs; of those the first run's counts.
-    held = rows.join(entries, ["__run", *KEY])
-    mine = held.filter(F.col("__id").eqNullSafe(F.col("keep_id"))).groupBy(*KEY).agg(F.min("__run").alias("__lead"))
-    held = held.withColumn("__nth", F.row_number().over(same)).join(mine, KEY)
+    entries = first.join(whole, KEY).withColumn("__holds", F.when(F.col("__keep").eqNullSafe(F.col("keep_id")), F.col("__run")))
+    lead = F.min("__holds").over(Window.partitionBy(*KEY))
+    entries = entries.select("__run", *KEY, "keep_id", "group_size", lead.alias("__lead"))
+    entries = written(entries, "entries")
+    same = Window.partitionBy("__run", *KEY, "__id").orderBy("__tx")
+    held = rows.join(entries, ["__run", *KEY]).withColumn("__nth", F.row_number().over(same))
     return held.select(
         "__id",
         "__tx",
