@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from kumiki.llm.components import components
 from kumiki.llm.kernel import FOLD, U, splitmix, texts_of, trimmed, window_hashes, windows_per_text, word_hashes, words
-from kumiki.llm.shared import bounded, released, small_batches, without, without_repeats, written
+from kumiki.llm.shared import bounded, dropped, released, small_batches, without, without_repeats, written
 
 #: The frequent class: tokens of at least so many documents by the blocks' reports, and no more of them than this.
 FREQUENT_DOCS, FREQUENT_TOKENS = 4, 1 << 21
@@ -73,12 +73,12 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def parities(tokens: np.ndarray) -> list[int]:
-    """256 bits: whether an odd number of tokens falls to each. Two sets differ by as many tokens as bits, at least."""
-    odd = np.bincount((splitmix(tokens ^ U(0x7F4A7C15DEADBEEF)) >> U(56)).astype(np.int64), minlength=256) & 1
+    """512 bits: whether an odd number of tokens falls to each. Two sets differ by as many tokens as bits, at least."""
+    odd = np.bincount((splitmix(tokens ^ U(0x7F4A7C15DEADBEEF)) >> U(55)).astype(np.int64), minlength=512) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-BITS = ["b0", "b1", "b2", "b3"]
+BITS = [f"b{i}" for i in range(8)]
 SET_NAMES = ["id", "tx", "n", "hi", "lo", *BITS]
 
 
@@ -91,7 +91,7 @@ def set_rows(batches, k: int):
         u, n = np.unique(np.concatenate(block), return_counts=True)
         u, n = u[n >= BLOCK_COUNT], n[n >= BLOCK_COUNT]
         none = pa.nulls(len(u), pa.int64())
-        return pa.record_batch([none, none, pa.array(n, pa.int64()), pa.array(u.astype(np.int64)), *[none] * 5], SET_NAMES)
+        return pa.record_batch([none, none, pa.array(n, pa.int64()), pa.array(u.astype(np.int64)), *[none] * (1 + len(BITS))], SET_NAMES)
 
     for batch in batches:
         found: list[tuple] = []
@@ -102,7 +102,7 @@ def set_rows(batches, k: int):
             if held > BLOCK_TOKENS:
                 yield counted()
                 block, held = [], 0
-        columns = zip(*found, strict=True) if found else [[]] * 7
+        columns = zip(*found, strict=True) if found else [[]] * (3 + len(BITS))
         yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in columns)], SET_NAMES)
     if block:
         yield counted()
@@ -198,14 +198,15 @@ def token_rows(batches, k: int, odd: dict):
 
 
 def linked_rows(batches, percent: int):
+    """a, b, both, linked of pairs of sets: the size of their intersection, and whether it is enough."""
     for batch in batches:
-        keep = []
+        both, ok = [], []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        out = batch.filter(pa.array(keep))
-        yield pa.record_batch([out.column(0), out.column(1)], ["a", "b"])
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            both.append(n)
+            ok.append(100 * n >= percent * (len(x) + len(y) - n))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "both", "linked"])
 
 
 def most_frequent(counts: DataFrame) -> np.ndarray:
@@ -281,18 +282,15 @@ def row_components(
     single = (F.col("sig").bitwiseAND(F.lit(1)) == 0).cast("int")
     held = sigs.filter("sig IS NULL").groupBy("id").agg(F.max("singles").alias("singles"), F.max("whole").alias("whole"))
     shared = members.groupBy("id").agg(F.sum(single).alias("shared"))
-    n = F.col("n")
-    sized = (
-        classes.select("id", "n", *BITS)
-        .join(shared, "id")
-        .join(held, "id")
-        .withColumn("dead", (F.col("singles") - F.col("shared")).cast("int"))
-        # The largest partner by the sizes, and where tokens of its own lack in the partner.
-        .withColumn("reach", F.floor(100 * n / percent))
-        .withColumn("top", F.least("reach", F.floor((n - F.col("dead")) * (100 + percent) / percent) - n))
-        .select("id", "n", *BITS, "whole", "dead", "reach", "top")
-    )
+    sized = classes.select("id", F.col("n").cast("int").alias("n"), *BITS).join(shared, "id").join(held, "id")
+    sized = sized.withColumn("dead", (F.col("singles") - F.col("shared")).cast("int")).drop("singles", "shared")
     sized = written(sized, "sizes")
+    dropped(sigs)
+
+    # The largest partner by the sizes, and where tokens of its own lack in the partner.
+    n = F.col("n")
+    reach = F.floor(100 * n / percent)
+    top = F.least(reach, F.floor((n - F.col("dead")) * (100 + percent) / percent) - n)
 
     def side(name: str) -> DataFrame:
         return sized.select(F.col("id").alias(name), *(F.col(c).alias(c + name) for c in ("n", "whole", "dead", *BITS)))
@@ -311,65 +309,72 @@ def row_components(
     least = F.least("na", "nb")
     spare = F.floor((least - F.floor((percent * least + 99) / 100)) / SPARE)
 
-    def token_table(pairs: DataFrame) -> DataFrame:
-        """The sets of the classes in pairs, each made from the text of its first document."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs with the sizes of their intersections; each set is made from the text of its class's first document."""
         busy = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        at = classes.join(bounded(written(busy, "busy")), "id", "left_semi").select(F.col("first").alias("id")).distinct()
-        found = base.join(bounded(written(at, "texts")), "id", "left_semi").select("id", "text")
+        busy = written(busy, "busy")
+        at = classes.join(bounded(busy), "id", "left_semi").select(F.col("first").alias("id")).distinct()
+        at = written(at, "texts")
+        found = base.join(bounded(at), "id", "left_semi").select("id", "text")
         sets = found.mapInArrow(lambda it: trimmed(token_rows(it, k, odd)), "id long, tokens binary")
-        return released(written(sets.dropDuplicates(["id"]), "tokens"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        sets = token_table(pairs)
+        sets = written(sets.join(bounded(busy), "id", "left_semi").dropDuplicates(["id"]), "tokens")
         with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         both = with_x.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-        return written(both.mapInArrow(lambda it: trimmed(linked_rows(it, percent)), "a long, b long"), "links")
-
-    def relabelled(part: DataFrame) -> DataFrame:
-        return part.join(labels, "id", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-
-    open_ = members.join(sized.drop(*BITS), "id").withColumn("label", F.col("id"))
-    edges = done = labels = None
-    for _ in range(rounds):
+        out = both.mapInArrow(lambda it: trimmed(linked_rows(it, percent)), "a long, b long, both long, linked boolean")
+        out = released(written(out, "links"))
+        dropped(busy, at, sets)
+        return out
+
+    open_ = members.join(sized.drop(*BITS), "id").withColumn("label", F.col("id")).withColumn("far", F.lit(None).cast("int"))
+    done = labels = None
+    before = members
+    for turn in range(rounds):
         lead = F.min_by(F.struct("id", "label", "n"), F.struct(F.col("dead") / F.col("n"), F.col("id")))
         groups = open_.groupBy("sig").agg(
             F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("low"), F.min("whole").alias("all_whole"),
-            F.max("top").alias("far_top"), F.max("reach").alias("far"), lead.alias("lead"),
+            F.max(top).alias("far_top"), F.max(reach).alias("far_reach"), lead.alias("lead"),
         )
-        own = F.when(F.col("all_whole"), F.col("top")).otherwise(F.col("reach"))
-        theirs = F.when(F.col("all_whole"), F.col("far_top")).otherwise(F.col("far"))
+        own = F.when(F.col("all_whole"), top).otherwise(reach)
+        theirs = F.when(F.col("all_whole"), F.col("far_top")).otherwise(F.col("far_reach"))
         left = open_.join(groups.filter("x <> y"), "sig").filter((own >= F.col("low")) & (theirs >= F.col("n")))
         # The leader's component needs only those that can be linked with a member of another one.
-        alien = left.filter("label <> lead.label").groupBy("sig").agg(
-            F.min("n").alias("alien_low"), F.max(F.when(F.col("all_whole"), F.col("top")).otherwise(F.col("reach"))).alias("alien_far")
-        )
+        alien = left.filter("label <> lead.label").groupBy("sig").agg(F.min("n").alias("alien_low"), F.max(own).alias("alien_far"))
         near = (own >= F.col("alien_low")) & (F.col("alien_far") >= F.col("n"))
         left = left.join(alien, "sig").filter(near | F.expr("label <> lead.label"))
-        left = written(left.select(*open_.columns, "lead"), "open")
+        left = whole_left = released(written(left.select(*open_.columns, "lead"), "open"))
+        dropped(before)
         pairs = left.filter("label <> lead.label").select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b")
-        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         more = linked(pairs)
-        edges = more if edges is None else edges.unionByName(more)
-        done = pairs if done is None else done.unionByName(pairs)
-        labels = bounded(components(edges).select(F.col("node").alias("id"), F.col("label").alias("to")))
-        open_ = released(written(relabelled(left.filter("id <> lead.id").drop("lead")), "open"))
-        if open_.isEmpty():
-            break
+        dropped(pairs)
+        done = more if done is None else done.unionByName(more)
+        labels = bounded(components(done.filter("linked")).select(F.col("node").alias("id"), F.col("label").alias("to")))
+        if not turn:  # how many tokens a member and its group's first leader differ by, where that has been counted
+            measured = more.select(F.col("a").alias("id"), F.col("b").alias("center"), "both")
+            left = left.withColumn("center", F.col("lead.id")).join(bounded(measured), ["id", "center"], "left")
+            left = left.withColumn("far", (F.col("n") + F.col("lead.n") - 2 * F.col("both")).cast("int")).drop("center", "both")
+        stay = left.filter("id <> lead.id").select(open_.columns)
+        stay = stay.join(labels, "id", "left").withColumn("label", F.coalesce("to", "label")).select(open_.columns)
+        open_ = before = released(written(stay, "open"))
+        dropped(whole_left)
     # What pairs of a group are still in different components and haven't been compared.
     mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    rest = written(open_.select("sig", "id", "label").join(mixed, "sig", "left_semi").join(sized.drop("reach", "top"), "id"), "rest")
+    rest = open_.select("sig", "id", "label", "far").join(mixed, "sig", "left_semi").join(sized, "id")
 
     def half(name: str) -> DataFrame:
         return rest.select("sig", *(F.col(c).alias(f"{c}{name}" if c != "id" else name) for c in rest.columns if c != "sig"))
 
-    both = half("a").join(half("b"), "sig").filter((F.col("a") > F.col("b")) & (F.col("labela") != F.col("labelb")) & fits)
+    # Of the tokens by which two sets differ from a third, those of their own can't be among what they share.
+    apart = F.col("fara") + F.col("farb") - 2 * F.least(F.col("fara") - F.col("deada"), F.col("farb") - F.col("deadb"))
+    close = ~(F.col("wholea") & F.col("wholeb")) | F.coalesce(apart <= total - 2 * overlap, F.lit(True))
+    both = half("a").join(half("b"), "sig").filter((F.col("a") > F.col("b")) & (F.col("labela") != F.col("labelb")) & close & fits)
     crossing = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.first(spare).alias("spare"))
     crossing = written(crossing.filter("count > spare").select("a", "b"), "crossing")
     known = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     crossing = written(crossing.join(known, ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
-        labels = components(edges.unionByName(linked(crossing))).select(F.col("node").alias("id"), F.col("label").alias("to"))
+        labels = components(done.unionByName(linked(crossing)).filter("linked")).select(F.col("node").alias("id"), F.col("label").alias("to"))
 
     named = classes.select("id", "hi", "lo", "n", "first").join(labels, "id", "left").withColumn("to", F.coalesce("to", "id"))
     smallest = named.groupBy("to").agg(F.min("first").alias("component"))
