@@ -4,25 +4,32 @@ A window is ``size`` consecutive words of one document. Of each window's runs of
 smallest hash (the first on ties) is its fingerprint: equal windows have equal fingerprints, so a window can only occur
 twice if its fingerprint does. Neighbouring windows mostly share one, which leaves about a twelfth of the positions.
 
-The index is a list of immutable runs in the shared folder, each sorted by fingerprint. A batch of documents becomes a
-new run; it is merge-joined with the runs of earlier batches, which tells the fingerprints that recur; when ``fan_in``
-runs have gathered they are compacted into one. Documents of old batches are matched by later ones in the same way.
+The index is a folder of immutable runs of the window hashes met so far, each bucketed and sorted by fingerprint, so that
+runs are merge-joined bucket by bucket without another exchange. A batch of documents becomes a new run; it is joined
+with the runs of earlier batches, which tells the fingerprints that recur; when ``fan_in`` runs have gathered they are
+compacted into one. Documents of old batches are matched by later ones in the same way. A folder can be opened again
+and added to by a later call.
 
-Verification: the windows whose fingerprint recurs are hashed as a whole (64 bits, and 32 of an independent hash), and
-only those whose whole sequence recurs count. Documents with equal word sequences are told by their SHA-256 beforehand:
-one of them stands for all, with a weight of two, so that a large group of copies doesn't multiply its windows.
+Verification: the windows whose fingerprint recurs are looked at as a whole, by a 64-bit hash and 64 bits of a BLAKE2b
+digest of their words, and only those whose whole sequence recurs count. Documents with equal word sequences are told
+by their SHA-256 beforehand: one of them stands for all, with a weight of two, so that a large group of copies doesn't
+multiply its windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kumiki.llm.kernel import U, splitmix, texts_of, window_hashes, windows_per_text, word_hashes, words
+from kumiki.llm.kernel import texts_of, window_hashes, windows_per_text, word_hashes, words
 from kumiki.llm.shared import bounded, new_path, released, small_batches, written
 
 SIZE, GRAM = 35, 12
@@ -89,6 +96,16 @@ def kept_sha(t, w, i: int, keep: np.ndarray | None) -> bytes:
     return hashlib.sha256(out[:-1].tobytes()).digest()
 
 
+def spaced_words(t, w) -> tuple[bytes, np.ndarray]:
+    """The words of a chunk with one space after each, and where each begins; one more entry for the end."""
+    size = w.end - w.begin + 1
+    stop = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(int(stop[-1])) + np.repeat(w.begin - stop[:-1], size)
+    out = t.data[np.minimum(at, max(0, len(t.data) - 1))].copy()
+    out[stop[1:] - 1] = 32
+    return out.tobytes(), stop
+
+
 def window_rows(batches, size: int, gram: int):
     """Whole hashes of the windows whose fingerprint is listed; input: id, tx, text, spots, weight."""
     for batch in batches:
@@ -106,11 +123,15 @@ def window_rows(batches, size: int, gram: int):
             first = first[listed[at]]
             doc = t.first + np.searchsorted(w.offs, first, side="right") - 1
             whole = window_hashes(h, size)
-            other = window_hashes(splitmix(h ^ U(0xA5A5A5A5DEADBEEF)), size)
+            spaced, begin = spaced_words(t, w)
+            other = [
+                int.from_bytes(hashlib.blake2b(spaced[b:e], digest_size=8).digest(), "little", signed=True)
+                for b, e in zip(begin[first].tolist(), begin[first + size].tolist(), strict=True)
+            ]
             yield pa.record_batch(
                 [
                     pa.array(whole[first].astype(np.int64)),
-                    pa.array((other[first] >> U(33)).astype(np.int32)),
+                    pa.array(other, pa.int64()),
                     pa.array(ids[doc]),
                     pa.array(tx[doc]),
                     pa.array((first - w.offs[doc - t.first]).astype(np.int32)),
@@ -144,42 +165,78 @@ def removal_rows(batches, size: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n): how often each fingerprint has been met in the batches so far."""
+    """Runs of (fp, n) in a folder, bucketed and sorted by fp: how often each fingerprint has been met so far.
 
-    def __init__(self, spark: SparkSession, fan_in: int = 4):
+    A run's folder is named by the first and last batch that it covers and its number of buckets. A run that another
+    complete run covers, left behind by a compaction that was cut short, doesn't count.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan_in: int = 4):
         self.spark, self.fan_in = spark, fan_in
-        self.runs: list[DataFrame] = []
+        self.folder = (folder or new_path(spark, "index")).rstrip("/")
+        spans = sorted(self._spans(), key=lambda x: (x[0], -x[1]))
+        spans = [s for i, s in enumerate(spans) if not any(o[0] <= s[0] and s[1] <= o[1] for o in spans[:i])]
+        self.buckets = spans[0][2] if spans else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs = {s[:2]: self._open(*s) for s in spans}
         self.recurring: list[DataFrame] = []
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _spans(self) -> list[tuple[int, int, int]]:
+        fs, at = self._fs(self.folder)
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        found = [(name, re.fullmatch(r"run-(\d+)-(\d+)-(\d+)", name)) for name in names]
+        done = [m for name, m in found if m and fs.exists(self._fs(f"{self.folder}/{name}/_SUCCESS")[1])]
+        return [(int(m[1]), int(m[2]), int(m[3])) for m in done]
+
+    def _path(self, first: int, last: int, buckets: int) -> str:
+        return f"{self.folder}/run-{first}-{last}-{buckets}"
+
+    def _open(self, first: int, last: int, buckets: int) -> DataFrame:
+        name = f"kumiki_run_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {name} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp)"
+            f" INTO {buckets} BUCKETS LOCATION '{self._path(first, last, buckets)}'"
+        )
+        return self.spark.table(name)
+
+    def _write(self, run: DataFrame, first: int, last: int) -> DataFrame:
+        """Writes a run and opens it; each bucket is one sorted file."""
+        name = f"kumiki_run_{uuid.uuid4().hex}"
+        dealt = run.repartition(self.buckets, "fp").groupBy("fp").agg(F.sum("n").alias("n"))
+        path = self._path(first, last, self.buckets)
+        dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
     def add(self, occurrences: DataFrame) -> DataFrame:
         """Adds a batch's fingerprints (fp) as a new run; returns those of it that recur in it or in history."""
-        run = occurrences.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("fp")
-        run = written(run, "run")
+        at = 1 + max((last for _, last in self.runs), default=-1)
+        run = self._write(occurrences.select("fp", F.lit(1).cast("long").alias("n")), at, at)
         twice = run.filter("n > 1").select("fp")
-        for old in self.runs:
+        for old in self.runs.values():
             met = run.filter("n = 1").select("fp").hint("merge").join(old.select("fp"), "fp", "left_semi")
             twice = twice.unionByName(met)
-        found = written(twice.distinct(), "recurring") if self.runs else twice
+        found = written(twice.distinct(), "recurring")
         self.recurring.append(found)
-        self.runs.append(run)
+        self.runs[at, at] = run
         if len(self.runs) >= self.fan_in:
             self.compact()
         return found
 
     def compact(self) -> None:
-        """Merges all runs into one."""
-        whole = self.runs[0]
-        for run in self.runs[1:]:
-            whole = whole.unionByName(run)
-        whole = whole.groupBy("fp").agg(F.sum("n").alias("n")).sortWithinPartitions("fp")
-        self.runs = [written(whole, "compacted")]
+        """Merges all runs into one, and deletes them once it is complete."""
+        old = dict(self.runs)
+        first, last = min(a for a, _ in old), max(b for _, b in old)
+        self.runs = {(first, last): self._write(reduce(DataFrame.unionByName, old.values()), first, last)}
+        for a, b in old:
+            fs, p = self._fs(self._path(a, b, self.buckets))
+            fs.delete(p, True)
 
     def repeated(self) -> DataFrame:
-        """All fingerprints met more than once."""
-        out = self.recurring[0]
-        for more in self.recurring[1:]:
-            out = out.unionByName(more)
-        return out.distinct()
+        """All fingerprints that recur in the batches added here, or between them and history."""
+        return reduce(DataFrame.unionByName, self.recurring).distinct()
 
 
 def substring_dedup(
@@ -188,7 +245,8 @@ def substring_dedup(
     text_col: str = "text",
     size: int = SIZE,
     gram: int = GRAM,
-    batches: int = 2,
+    batches: int = 5,
+    fan_in: int = 4,
 ) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, kept_sha256.
 
@@ -204,14 +262,14 @@ def substring_dedup(
         F.xxhash64(text_col).alias("tx"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    index = FingerprintIndex(spark)
-    schema = "id long, tx long, n long, fp long, sha binary"
-    rows = None
+    made = base.mapInArrow(lambda it: fingerprint_rows(it, size, gram), "id long, tx long, n long, fp long, sha binary")
+    part = F.pmod(F.xxhash64("id", "tx"), F.lit(batches)).cast("int")
+    path = new_path(spark, "fingerprints")
+    made.withColumn("part", part).write.partitionBy("part").parquet(path)
+    rows = spark.read.schema(T.StructType([*made.schema.fields, T.StructField("part", T.IntegerType())])).parquet(path)
+    index = FingerprintIndex(spark, fan_in=fan_in)
     for b in range(batches):
-        part = base.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
-        made = written(part.mapInArrow(lambda it: fingerprint_rows(it, size, gram), schema), "fingerprints")
-        index.add(made.filter("sha IS NULL").select("fp"))
-        rows = made if rows is None else rows.unionByName(made)
+        index.add(rows.filter((F.col("part") == b) & F.col("sha").isNull()).select("fp"))
     per_doc = rows.filter("sha IS NOT NULL").select("id", "tx", F.col("n").alias("n_words"), "sha")
 
     # Documents of equal word sequences: the first stands for all of them.
@@ -244,7 +302,7 @@ def substring_dedup(
     spots = released(written(spots, "spots"))
     found = base.join(bounded(spots, 150_000), ["id", "tx"]).select("id", "tx", "text", "spots", "weight")
     found = found.mapInArrow(
-        lambda it: window_rows(it, size, gram), "h long, v int, id long, tx long, start int, weight int"
+        lambda it: window_rows(it, size, gram), "h long, v long, id long, tx long, start int, weight int"
     )
     found = released(written(found, "windows"))
     twice = found.groupBy("h", "v").agg(F.sum("weight").alias("n")).filter("n > 1").select("h", "v")
