@@ -93,11 +93,13 @@ def template_dedup(
         place.join(drop, ["leaf", "hash"], "left_semi").groupBy("id", "tx").agg(F.collect_set("no").alias("gone"))
     ).withColumnsRenamed({"id": "__id", "tx": "__tx"})
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("tx") == F.col("__tx"))
-    all_lines = F.split("text", "\n")
-    kept = F.filter(all_lines, lambda _, i: ~F.array_contains("gone", i))
-    return base.join(bounded(written(gone, "gone")), same, "left").select(
+    # Lines are split below the join, so that what is kept of them is looked up by number.
+    split = base.select("id", "tx", F.split("text", "\n").alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
+    return split.join(bounded(written(gone, "gone")), same, "left").select(
         F.col("id").alias(id_col),
-        F.size(all_lines).cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        F.array_join(kept, "\n").alias("kept"),
     )
