@@ -74,15 +74,18 @@ def hits(docs: DataFrame, wins: DataFrame, max_index: int) -> DataFrame:
             .filter((F.col("__rank") == 1) & (F.col("__have") == F.size("__win") - int(pairs)))
             .select("__key", "__off", "__win")
         )
-        index = bounded(written(index, "prefixes"), max_index)
+        index = written(index, "prefixes")
         start = F.col("__p") - F.col("__off")
-        some = (
-            positions(docs, ["__id", "__tx"], pairs)
-            .join(index, "__key")
-            .filter((start >= 0) & (start + F.size("__win") <= F.size("__w")))
-            .filter(F.slice("__w", start + 1, F.size("__win")) == F.col("__win"))
-            .select("__id", "__tx", start.alias("__start"), "__win")
-        )
+        inside = (start >= 0) & (start + F.size("__win") <= F.size("__w"))
+        exact = F.slice("__w", start + 1, F.size("__win")) == F.col("__win")
+        if index.count() <= max_index:
+            some = positions(docs, ["__id", "__tx"], pairs).join(bounded(index, max_index), "__key")
+        else:  # positions are shuffled without the words, which are fetched for those that match
+            places = positions(docs, ["__id", "__tx"], pairs).select("__id", "__tx", "__p", "__key").join(index, "__key")
+            places = places.withColumnsRenamed({"__id": "__pid", "__tx": "__ptx"})
+            here = F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__tx") == F.col("__ptx"))
+            some = docs.select("__id", "__tx", "__w").distinct().join(places, here)
+        some = some.filter(inside & exact).select("__id", "__tx", start.alias("__start"), "__win")
         found = some if found is None else found.unionByName(some)
     return found
 
