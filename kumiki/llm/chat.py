@@ -30,7 +30,7 @@ from kumiki.llm.shared import small_batches
 
 EVENTS = "conv_id long, seq long, kind string, turn long, nth int, role string, text string"
 CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)|:(?= )")
-SEGMENT = re.compile(r"### ((?:[^\\:]|\\.|:(?! ))*): ((?:[^\\]|\\.)*) </turn>\n", re.S)
+HEAD, END = "### ", " </turn>\n"
 
 
 def escape(text: str) -> str:
@@ -38,23 +38,41 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+#: Events of a turn in a log: drafts come before this place among them, the final text from it on.
+FINAL, SLOTS = 3, 8
+
+
 def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """The log that a table of finished turns (conv_id, turn, role, text) stands for: a delta for each row.
+    """A log that folds to a table of finished turns (conv_id, turn, role, text).
 
-    Rows that repeat a turn are messages of their own, in the order of role and text.
+    Rows that repeat a turn are messages of their own, in the order of role and text. By a hash of its key a message is
+    streamed in three deltas, begun as a draft that an edit replaces and deltas complete, or regenerated after a draft.
     """
     nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return conversations.select("conv_id", "turn", "role", "text").select(
-        "conv_id",
-        F.col("turn").alias("seq"),
-        F.lit("delta").alias("kind"),
-        "turn",
-        nth.alias("nth"),
-        "role",
-        F.coalesce("text", F.lit("")).alias("text"),
+    rows = conversations.select("conv_id", "turn", nth.alias("nth"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "nth"), F.lit(3))
+    third = F.ceil(F.char_length("text") / 3).cast("int")
+
+    def event(at: int, kind: str, text, role=None):
+        return F.struct(
+            F.lit(at).alias("at"), F.lit(kind).alias("kind"), text.alias("text"), (F.col("role") if role is None else role).alias("role")
+        )
+
+    none = F.lit(None).cast("string")
+    parts = [F.substr("text", F.lit(1) + third * i, third) for i in range(2)] + [F.substr("text", F.lit(1) + third * 2)]
+    deltas = [event(FINAL + i, "delta", p) for i, p in enumerate(parts)]
+    draft = event(0, "delta", F.concat(F.lit("draft of "), F.substr("text", F.lit(1), F.lit(20))))
+    edited = [draft, event(FINAL, "edit", parts[0], none), *deltas[1:]]
+    again = [draft, event(1, "edit", F.lit("not yet")), event(2, "regenerate", none), *deltas]
+    log = F.when(way == 0, F.array(*deltas)).when(way == 1, F.array(*edited)).otherwise(F.array(*again))
+    first = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 59))) * SLOTS
+    return rows.withColumn("e", F.explode(log)).select(
+        "conv_id", (first + F.col("e.at")).alias("seq"), "e.kind", "turn", "nth", "e.role", "e.text"
     )
 
 
@@ -148,12 +166,27 @@ def format_chats(events: DataFrame) -> DataFrame:
     return messages(events).mapInArrow(lambda it: render_rows(it, names), schema)
 
 
+def unescaped(text: str, mark: str, begin: int, end: int) -> int:
+    """The first place of mark in text[begin:end] that no backslash escapes, or -1."""
+    at = text.find(mark, begin, end)
+    while at >= 0:
+        back = at
+        while back > begin and text[back - 1] == "\\":
+            back -= 1
+        if (at - back) % 2 == 0:
+            return at
+        at = text.find(mark, at + 1, end)
+    return -1
+
+
 def parse_segment(segment: str) -> tuple[str, str]:
-    """Role and text of a rendered segment."""
-    m = SEGMENT.fullmatch(segment)
-    if not m:
+    """Role and text of a rendered segment, by a scan for its control strings."""
+    begin, end = len(HEAD), len(segment) - len(END)
+    colon = unescaped(segment, ": ", begin, end + 1) if segment.startswith(HEAD) and segment.endswith(END) else -1
+    body = colon + 2
+    if colon < 0 or body > end or any(unescaped(segment, mark, body, end) >= 0 for mark in ("###", "</turn>")):
         raise ValueError(f"no segment: {segment[:80]!r}")
-    return unescape(m[1]), unescape(m[2])
+    return unescape(segment[begin:colon]), unescape(segment[body:end])
 
 
 def digest_rows(batches, names):
