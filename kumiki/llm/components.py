@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kumiki.llm.shared import written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component, for every node of edges (a, b).
 
     Each round takes the smallest label of the neighbours and then the label of that label; nodes far apart meet in a
@@ -18,9 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = written(both, "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
     labels = written(labels.withColumn("moved", F.lit(True)), "labels")
-    for _ in range(most_rounds):
-        if labels.filter("moved").isEmpty():
-            return labels.select("node", "label")
+    while not labels.filter("moved").isEmpty():
         near = (
             both.join(labels.select(F.col("node").alias("b"), "label"), "b")
             .groupBy(F.col("a").alias("node"))
@@ -31,4 +29,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         far = step.select(F.col("node").alias("low"), F.col("low").alias("to"))
         labels = step.join(far, "low").select("node", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved"))
         labels = written(labels, "labels")
-    raise RuntimeError(f"components: not settled after {most_rounds} rounds")
+    return labels.select("node", "label")

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,12 +19,15 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset and the
+    session runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="kumiki-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -56,7 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kumiki_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made, once all that reads them has been written itself."""
+    for df in tables:
+        if df is not None:
+            _delete(df.sparkSession, df.kumiki_path)
 
 
 def released(df: DataFrame) -> DataFrame:
@@ -66,9 +79,24 @@ def released(df: DataFrame) -> DataFrame:
     return df
 
 
-def bounded(df: DataFrame, max_rows: int = 400_000) -> DataFrame:
-    """df with a broadcast hint if it has max_rows rows at most; beyond that it stays as it is and the join shuffles."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def width(field: T.StructField) -> Column:
+    """Bytes of a value of a column, about."""
+    kind, c = field.dataType, F.col(f"`{field.name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType):
+            return F.coalesce(F.octet_length(F.array_join(c, "        ")), F.lit(0)) + 16
+        return F.coalesce(8 * F.size(c), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def bounded(df: DataFrame, max_rows: int = 400_000, max_bytes: int = 128 << 20) -> DataFrame:
+    """df with a broadcast hint if it has max_rows rows and max_bytes bytes at most, as counted; beyond that it stays as
+    it is and the join shuffles."""
+    size = sum((width(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    rows, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if rows <= max_rows and (total or 0) <= max_bytes else df
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
