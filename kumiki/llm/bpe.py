@@ -2,13 +2,14 @@
 
 Pieces of all texts are counted (in each task a bounded table of those that recur, then summed), the most frequent ones
 are compiled into a minimal acyclic transducer (kumiki.llm.lexicon), and every executor memory-maps it. A piece that it
-lacks is merged exactly by the library. Texts beyond the code points that the vectorised pre-tokeniser knows, and texts
-that hold the string of a special token, go to the library as a whole.
+lacks is merged exactly by the library. Texts that hold the string of a special token, or a code point that the
+pre-tokeniser has no data of, go to the library as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import uuid
 from collections import Counter
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kumiki.llm.lexicon import Lexicon, build
-from kumiki.llm.pretokens import CHUNK_CHARS, GAP, Encoder, classify, lowered, span_hashes, spans
+from kumiki.llm.pretokens import CHUNK_CHARS, GAP, Encoder, classify, span_hashes, spans
 from kumiki.llm.shared import small_batches
 
 #: Words that are compiled; pieces that a task counts at once, and those that it hands on.
@@ -40,8 +41,7 @@ def count_pieces(batches, rule: str):
     counts: Counter = Counter()
 
     def take(texts: list[str]) -> None:
-        joined = "\0".join(texts)
-        cps, cls = classify(joined)
+        joined, cps, cls = classify("\0".join(texts), rule)
         if not len(cps):
             return
         cls = cls.copy()
@@ -61,7 +61,7 @@ def count_pieces(batches, rule: str):
         size = 0
         for text in batch.column(0).to_pylist():
             if text:
-                texts.append(lowered(text) if rule == "words" else text)
+                texts.append(text if rule == "pieces" or text.isascii() else unicodedata.normalize("NFC", text))
                 size += len(text)
                 if size > CHUNK_CHARS:
                     take(texts)

@@ -1,8 +1,9 @@
 """Pre-tokenisation of many texts at once, in numpy over code points, equal to that of the public tokenizer files.
 
-Two rules are known: ``pieces`` (a space joins the piece that follows it; the byte-level file) and ``words`` (white space
-is dropped, digits stand alone, letters are lower-cased; the word-end file). The fast way covers texts whose code
-points all have a known class; any other text, and one that holds a special token's string, is left to the library.
+Two rules are known: ``pieces`` (a space joins the piece that follows it; the byte-level file) and ``words`` (NFC, white
+space is dropped, digits stand alone, letters are lower-cased; the word-end file). A text is left to the library only if
+it holds a special token's string, a code point that this Python's Unicode data don't have, or, under ``words``, one
+whose lower case is longer.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from tokenizers import Tokenizer
 from kumiki.llm.kernel import U, _B, powers, splitmix
 
 OTHER, LETTER, DIGIT, SPACE, GAP, UNKNOWN = range(6)
-#: The fast way knows Latin code points and general punctuation; both are stable under NFC and one-to-one in lower case.
-LATIN_END, PUNCT_BEGIN, PUNCT_END = 0x180, 0x2010, 0x205F
+#: Code points beyond these are unassigned or for private use.
+PLANES = (*range(0x40000), *range(0xE0000, 0xE1000))
 #: Characters of one piece of work.
 CHUNK_CHARS = 1 << 18
 #: Pieces of which a worker remembers the ids; beyond that it begins anew.
@@ -27,19 +28,41 @@ FRONT_BITS = 20
 
 @cache
 def classes() -> np.ndarray:
-    table = np.full(PUNCT_END + 1, UNKNOWN, np.uint8)
-    for cp in [*range(LATIN_END), *range(PUNCT_BEGIN, PUNCT_END)]:
-        kind = unicodedata.category(chr(cp))[0]
-        table[cp] = {"L": LETTER, "N": DIGIT, "Z": SPACE}.get(kind, OTHER)
+    """The class of each code point, by its general category."""
+    table = np.full(0x110000, UNKNOWN, np.uint8)
+    kinds = {"L": LETTER, "N": DIGIT, "Z": SPACE}
+    for cp in PLANES:
+        kind = unicodedata.category(chr(cp))
+        if kind not in ("Cn", "Cs"):
+            table[cp] = kinds.get(kind[0], OTHER)
     table[9:14] = SPACE
     table[0x85] = SPACE
-    table[[0x130, 0x17F]] = UNKNOWN  # their lower case is longer, or another letter's
     return table
 
 
-def classify(text: str) -> tuple[np.ndarray, np.ndarray]:
+@cache
+def lower_case() -> np.ndarray:
+    """The lower case of each code point by itself, and 0x110000 where that is longer than one."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for cp in PLANES:
+        if not 0xD800 <= cp < 0xE000 and (low := chr(cp).lower()) != chr(cp):
+            table[cp] = ord(low) if len(low) == 1 else 0x110000
+    return table
+
+
+def classify(text: str, rule: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text as its pieces are cut from it, its code points, and their classes."""
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return cps, classes()[np.minimum(cps, PUNCT_END)]
+    if rule == "pieces" or text.isascii():
+        text = text if rule == "pieces" else text.lower()
+        cps = cps if rule == "pieces" else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return text, cps, classes()[cps]
+    low = lower_case()[cps]
+    long = low == 0x110000
+    cps = np.where(long, cps, low)
+    cls = classes()[cps]
+    cls[long] = UNKNOWN
+    return cps.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), cps, cls
 
 
 def spans(cps: np.ndarray, cls: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +173,7 @@ class Encoder:
         return slot
 
     def _fast(self, texts: list[str]) -> list[np.ndarray]:
-        joined = "\0".join(texts)
-        cps, cls = classify(joined)
+        joined, cps, cls = classify("\0".join(texts), self.rule)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         strange = np.flatnonzero(cls == UNKNOWN)
         if len(strange):
@@ -197,28 +219,9 @@ class Encoder:
                 continue
             if group and held + len(text) > CHUNK_CHARS:
                 flush()
-            # Lower case keeps the length of every text that the fast way knows.
-            group.append(text if self.rule == "pieces" else text.lower() if text.isascii() else lowered(text))
+            group.append(text if self.rule == "pieces" or text.isascii() else unicodedata.normalize("NFC", text))
             at.append(i)
             held += len(text)
         if group:
             flush()
         return out
-
-
-@cache
-def strange_case() -> frozenset[str]:
-    """Characters that the fast way doesn't know but whose lower case it does."""
-    table = classes()
-
-    def kind(c: str) -> int:
-        return table[min(ord(c), PUNCT_END)]
-
-    return frozenset(
-        c for c in map(chr, range(0x3000)) if kind(c) == UNKNOWN and all(kind(x) != UNKNOWN for x in c.lower())
-    )
-
-
-def lowered(text: str) -> str:
-    """Lower case, unless that would hide a character that the fast way doesn't know."""
-    return text if strange_case().intersection(text) else text.lower()

@@ -165,6 +165,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
                    sha256(coalesce(kept, '')) AS kept_sha256
             FROM d LEFT JOIN x ON d.doc_id = x.doc_id""",
+        "op9_jaccard_join": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+            g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS s FROM d),
+            c AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY s),
+            t AS (SELECT rep, n, unnest(s) AS token FROM c),
+            o AS (SELECT x.rep AS a, y.rep AS b, x.n + y.n AS n, count(*) AS hit FROM t x JOIN t y ON x.token = y.token AND x.rep < y.rep
+                  AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY x.rep, y.rep, x.n, y.n),
+            e AS (SELECT a, b FROM o WHERE 100 * hit >= 90 * (n - hit)),
+            l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+            r AS (SELECT rep AS node, rep AS label FROM c UNION SELECT l.a, r.label FROM r JOIN l ON r.node = l.b),
+            m AS (SELECT node, min(label) AS label FROM r GROUP BY node)
+            SELECT doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(label, doc_id) AS component_id
+            FROM g LEFT JOIN c ON g.s = c.s LEFT JOIN m ON c.rep = m.node""",
         "op10_exact_dedup": f"""
             WITH n AS (SELECT doc_id, {norm} AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

@@ -91,3 +91,13 @@ def test_empty_tables(spark, docs_of, tmp_path):
     assert bpe(docs_of([]), tokenizer_file(FILES["words"])).count() == 0
     write_token_files(docs_of([]), str(tmp_path / "o"), tokenizer_file(FILES["pieces"]))
     assert read_token_files(spark, str(tmp_path / "o")).count() == 0
+
+
+@pytest.mark.parametrize("rule", sorted(FILES))
+def test_scripts_of_all_planes_take_the_fast_way(rule):
+    e = Encoder(tokenizer_file(FILES[rule]), rule)
+    own = [*range(0x250, 0x800, 3), *range(0x900, 0x1200, 7), *range(0x3040, 0x3100), *range(0x4E00, 0x4F00), *range(0xAC00, 0xAC80), 0x1F600, 0x20000]
+    texts = [f"a{chr(c)}b {chr(c)} 1{chr(c)}'s {chr(c)}'t" for c in own]
+    got = e.encode(texts)
+    assert [x.tolist() for x in got] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    assert sum(x is None for x in e._fast(["Привет, мир!", "γειά σου", "日本語のテスト", "안녕 하세요", "😀 €5"])) == 0
