@@ -48,7 +48,7 @@ STAGES = [
     ("bpe", stage_bpe),
 ]
 
-#: No SQL: models and a tokenizer take part. tests/llm holds run() against a brute-force version.
+#: No SQL: models and a tokenizer take part. tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
