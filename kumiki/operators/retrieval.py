@@ -205,3 +205,29 @@ def vector_sql(table: str, k: int, filters: dict[str, str] | None = None) -> str
     )
 
 
+
+
+def vector_ddl(table: str, dim: int) -> list[str]:
+    """Statements that make a table for chunks with vectors, and its indexes."""
+    return [
+        f"CREATE TABLE IF NOT EXISTS {table} (doc_id text, chunk_id int, text text, keywords text[], dates text[], embedding vector({int(dim)}), PRIMARY KEY (doc_id, chunk_id))",
+        f"CREATE INDEX IF NOT EXISTS {table}_embedding ON {table} USING hnsw (embedding vector_cosine_ops)",
+        f"CREATE INDEX IF NOT EXISTS {table}_keywords ON {table} USING gin (keywords)",
+    ]
+
+
+def vector_upsert(table: str) -> str:
+    """A parameterised statement that inserts a chunk or replaces the one of its key."""
+    names = ["doc_id", "chunk_id", "text", "keywords", "dates", "embedding"]
+    values = ", ".join(f"%({n})s" for n in names)
+    changed = ", ".join(f"{n} = excluded.{n}" for n in names[2:])
+    return f"INSERT INTO {table} ({', '.join(names)}) VALUES ({values}) ON CONFLICT (doc_id, chunk_id) DO UPDATE SET {changed}"
+
+
+def vector_candidates_sql(table: str, k: int, dates: bool = False) -> str:
+    """Candidates that share a keyword or hold one of the terms, of given dates if asked, nearest first."""
+    when = " AND dates && %(dates)s" if dates else ""
+    return (
+        f"SELECT doc_id, chunk_id, text, 1 - (embedding <=> %(query)s) AS similarity FROM {table} "
+        f"WHERE (keywords && %(terms)s OR text ILIKE ANY(%(patterns)s)){when} ORDER BY embedding <=> %(query)s LIMIT {int(k)}"
+    )

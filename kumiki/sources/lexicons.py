@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,3 +144,31 @@ def with_external(internal: DataFrame, external: DataFrame, key: str = "surface"
 def apply_user_entities(base: DataFrame, user: DataFrame) -> DataFrame:
     """User rows first; rows of base with their surface go."""
     return with_precedence(user, base, "surface")
+
+
+def load_examples_dir(spark: SparkSession, folder: str, labels: dict[str, str], pattern: str = "*.csv") -> DataFrame:
+    """The example files of a folder in the order of their names; each file's ids begin with the last part of its name."""
+    found = sorted(Path(folder).glob(pattern)) if "://" not in folder else []
+    if not found:
+        raise LexiconError(f"{folder}: no file matches {pattern}")
+    parts = [load_examples_csv(spark, str(p), labels, p.stem.rsplit("-", 1)[-1]) for p in found]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def resolve_dictionary(entry: str, base: str | None = None, domains: dict[str, str] | None = None) -> str:
+    """The folder of a dictionary: ``builtin:NAME`` by the given domains, a relative path from base."""
+    if entry.startswith("builtin:"):
+        name = entry.removeprefix("builtin:")
+        if name not in (domains or {}):
+            raise LexiconError(f"unknown built-in dictionary {name!r} (available: {', '.join(sorted(domains or {})) or 'none'})")
+        return domains[name]
+    path = Path(entry.strip()).expanduser()
+    return str(path if path.is_absolute() or base is None else Path(base) / path)
+
+
+def manifest(lexicons: dict[str, DataFrame], expected: dict[str, int] | None = None) -> DataFrame:
+    """name, rows, expected, matches: the rows of each lexicon against those that a manifest names."""
+    spark = next(iter(lexicons.values())).sparkSession
+    counts = [(name, df.count(), (expected or {}).get(name)) for name, df in sorted(lexicons.items())]
+    out = spark.createDataFrame(counts, "name string, rows long, expected long")
+    return out.withColumn("matches", F.col("expected").isNull() | (F.col("rows") == F.col("expected")))
