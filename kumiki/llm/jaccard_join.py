@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from kumiki.llm.components import components
 from kumiki.llm.kernel import FOLD, U, splitmix, texts_of, trimmed, window_hashes, windows_per_text, word_hashes, words
-from kumiki.llm.shared import bounded, dropped, released, small_batches, without, without_repeats, written
+from kumiki.llm.shared import bounded, dropped, fits_broadcast, released, small_batches, without, without_repeats, written
 
 #: The frequent class: tokens of at least so many documents by the blocks' reports, and no more of them than this.
 FREQUENT_DOCS, FREQUENT_TOKENS = 4, 1 << 21
@@ -313,16 +313,16 @@ def row_components(
         """The pairs with the sizes of their intersections; each set is made from the text of its class's first document."""
         busy = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         busy = written(busy, "busy")
-        at = classes.join(bounded(busy), "id", "left_semi").select(F.col("first").alias("id")).distinct()
-        at = written(at, "texts")
-        found = base.join(bounded(at), "id", "left_semi").select("id", "text")
+        hint = F.broadcast if fits_broadcast(busy) else lambda df: df  # the first documents are no more than the classes
+        at = classes.join(hint(busy), "id", "left_semi").select(F.col("first").alias("id")).distinct()
+        found = base.join(hint(at), "id", "left_semi").select("id", "text")
         sets = found.mapInArrow(lambda it: trimmed(token_rows(it, k, odd)), "id long, tokens binary")
-        sets = written(sets.join(bounded(busy), "id", "left_semi").dropDuplicates(["id"]), "tokens")
+        sets = written(sets.join(hint(busy), "id", "left_semi").dropDuplicates(["id"]), "tokens")
         with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         both = with_x.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
         out = both.mapInArrow(lambda it: trimmed(linked_rows(it, percent)), "a long, b long, both long, linked boolean")
         out = released(written(out, "links"))
-        dropped(busy, at, sets)
+        dropped(busy, sets)
         return out
 
     open_ = members.join(sized.drop(*BITS), "id").withColumn("label", F.col("id")).withColumn("far", F.lit(None).cast("int"))
@@ -349,7 +349,8 @@ def row_components(
         more = linked(pairs)
         dropped(pairs)
         done = more if done is None else done.unionByName(more)
-        labels = bounded(components(done.filter("linked")).select(F.col("node").alias("id"), F.col("label").alias("to")))
+        if labels is None or not more.filter("linked").isEmpty():
+            labels = bounded(components(done.filter("linked")).select(F.col("node").alias("id"), F.col("label").alias("to")))
         if not turn:  # how many tokens a member and its group's first leader differ by, where that has been counted
             measured = more.select(F.col("a").alias("id"), F.col("b").alias("center"), "both")
             left = left.withColumn("center", F.col("lead.id")).join(bounded(measured), ["id", "center"], "left")
@@ -373,8 +374,9 @@ def row_components(
     crossing = written(crossing.filter("count > spare").select("a", "b"), "crossing")
     known = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     crossing = written(crossing.join(known, ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        labels = components(done.unionByName(linked(crossing)).filter("linked")).select(F.col("node").alias("id"), F.col("label").alias("to"))
+    more = None if crossing.isEmpty() else linked(crossing).filter("linked")
+    if more is not None and not more.isEmpty():
+        labels = components(done.filter("linked").unionByName(more)).select(F.col("node").alias("id"), F.col("label").alias("to"))
 
     named = classes.select("id", "hi", "lo", "n", "first").join(labels, "id", "left").withColumn("to", F.coalesce("to", "id"))
     smallest = named.groupBy("to").agg(F.min("first").alias("component"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -73,12 +74,21 @@ def dropped(*tables: DataFrame | None) -> None:
 
 
 def released(df: DataFrame) -> DataFrame:
-    """Lets the cleaner drop shuffle files of plans that are no longer held, so that disk use stays low."""
+    """Lets the cleaner drop shuffle files of plans that are no longer held, so that disk use stays low, and gives the
+    driver's freed memory back."""
     gc.collect()
     df.sparkSession._jvm.System.gc()
+    trim_memory()
     return df
 
 
+def trim_memory() -> None:
+    """Gives this process's freed memory back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def width(field: T.StructField) -> Column:
     """Bytes of a value of a column, about."""
     kind, c = field.dataType, F.col(f"`{field.name}`")
@@ -94,9 +104,14 @@ def width(field: T.StructField) -> Column:
 def bounded(df: DataFrame, max_rows: int = 400_000, max_bytes: int = 128 << 20) -> DataFrame:
     """df with a broadcast hint if it has max_rows rows and max_bytes bytes at most, as counted; beyond that it stays as
     it is and the join shuffles."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = 400_000, max_bytes: int = 128 << 20) -> bool:
+    """Whether df has max_rows rows and max_bytes bytes at most, as counted."""
     size = sum((width(f) for f in df.schema.fields), F.lit(0)).cast("long")
     rows, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
-    return F.broadcast(df) if rows <= max_rows and (total or 0) <= max_bytes else df
+    return rows <= max_rows and (total or 0) <= max_bytes
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kumiki.llm.kernel import FOLD, U, _B, _byte_values, byte_table, powers, splitmix, texts_of, trimmed, words
-from kumiki.llm.shared import bounded, small_batches, without, written
+from kumiki.llm.shared import bounded, small_batches, trim_memory, without, written
 
 BITS, FOLDS, SAMPLE_DOCS = 20, 4, 6_000
 #: A feature is used if the likelihood ratio statistic of its presence and the class is at least this (about 1 in 200
@@ -187,7 +187,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str,
     # Equal texts share a fold, so that no model of a fold has seen a text that it is asked about.
     fold = (splitmix(found["tx"].to_numpy().astype(U)) % U(FOLDS)).astype(int)
     ys = [found[f"y{i}"].to_numpy().astype(float) for i in range(len(categories))]
-    return Chain(np.repeat(np.arange(len(size), dtype=np.int32), size), flat, ys, fold, found["weight"].to_numpy().astype(float))
+    weight = found["weight"].to_numpy().astype(float)
+    del found, lists
+    chain = Chain(np.repeat(np.arange(len(size), dtype=np.int32), size), flat, ys, fold, weight)
+    del flat, size
+    trim_memory()
+    return chain
 
 
 def toxicity(
