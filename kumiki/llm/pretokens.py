@@ -105,6 +105,11 @@ def span_hashes(cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
         return splitmix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U) * U(0xC2B2AE3D27D4EB4F))
 
 
+def marks(cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Length, first and last code point of each piece as one number: pieces of equal hashes are told apart by it."""
+    return ((end - begin).astype(U) << U(42)) ^ (cps[begin].astype(U) << U(21)) ^ cps[end - 1].astype(U)
+
+
 class Encoder:
     """Ids of whole texts, the same as the library's, by pieces: each distinct piece is encoded once.
 
@@ -123,6 +128,7 @@ class Encoder:
         # A direct-mapped front of the slots, looked up for all pieces at once; the latest piece of a place wins.
         self.front_key, self.front_slot = np.zeros(1 << FRONT_BITS, U), np.zeros(1 << FRONT_BITS, np.int32)
         self.first, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.mark = np.zeros(1024, U)
         self.used = 0
 
     def merge(self, pieces: list[str]) -> list[list[int]]:
@@ -133,7 +139,7 @@ class Encoder:
             out[i].append(k)
         return out
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, hashes: list[int], pieces: list[str], mark: np.ndarray) -> None:
         found = self.lexicon.lookup(pieces) if self.lexicon else [None] * len(pieces)
         unseen = [i for i, x in enumerate(found) if x is None]
         for i, ids in zip(unseen, self.merge([pieces[i] for i in unseen]) if unseen else [], strict=True):
@@ -143,15 +149,17 @@ class Encoder:
         total = int(sizes.sum())
         while at + n > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+            self.mark = np.resize(self.mark, 2 * len(self.mark))
         while self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.first[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.size[at : at + n] = sizes
+        self.mark[at : at + n] = mark
         self.ids[self.used : self.used + total] = np.fromiter((k for x in found for k in x), np.uint32, total)
         self.used += total
         self.slots.update(zip(hashes, range(at, at + n), strict=True))
 
-    def _slots(self, joined: str, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def _slots(self, joined: str, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, mark: np.ndarray) -> np.ndarray:
         if len(self.slots) > CACHE_PIECES:
             self.clear()
         place = (hashes >> U(64 - FRONT_BITS)).astype(np.int64)
@@ -165,7 +173,7 @@ class Encoder:
         if new:
             at = miss[where[new]]
             b, e = begin[at].tolist(), end[at].tolist()
-            self._learn([keys[i] for i in new], [joined[x:y] for x, y in zip(b, e, strict=True)])
+            self._learn([keys[i] for i in new], [joined[x:y] for x, y in zip(b, e, strict=True)], mark[at])
         found = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
         slot[miss] = found[back]
         front = place[miss[where]]
@@ -188,7 +196,10 @@ class Encoder:
         if not len(cps):
             return [np.zeros(0, np.uint32) for _ in texts]
         begin, end = spans(cps, cls, self.rule)
-        slot = self._slots(joined, begin, end, span_hashes(cps, begin, end))
+        mark = marks(cps, begin, end)
+        slot = self._slots(joined, begin, end, span_hashes(cps, begin, end), mark)
+        if (self.mark[slot] != mark).any():  # two pieces of one hash: the library takes these texts
+            return [None] * len(texts)
         first, size = self.first[slot], self.size[slot]
         ends = np.cumsum(size)
         ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)]
