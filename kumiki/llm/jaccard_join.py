@@ -325,43 +325,60 @@ def row_components(
         dropped(busy, sets)
         return out
 
-    open_ = members.join(sized.drop(*BITS), "id").withColumn("label", F.col("id")).withColumn("far", F.lit(None).cast("int"))
+    small = fits_broadcast(sized)
+    hint = F.broadcast if small else lambda df: df
+    open_ = members.join(hint(sized.drop(*BITS)), "id").withColumn("far", F.lit(None).cast("int"))
+    columns = open_.columns
     done = labels = None
     before = members
+
+    def labelled(part: DataFrame, name: str = "id", label: str = "label") -> DataFrame:
+        """part with the component of each set so far; one that is linked with none is its own."""
+        if labels is None:
+            return part.withColumn(label, F.col(name))
+        return part.join(labels.toDF(name, label), name, "left").withColumn(label, F.coalesce(label, name))
+
     for turn in range(rounds):
-        lead = F.min_by(F.struct("id", "label", "n"), F.struct(F.col("dead") / F.col("n"), F.col("id")))
-        groups = open_.groupBy("sig").agg(
+        named = labelled(open_)
+        lead = F.min(F.struct((F.col("dead") / F.col("n")).alias("share"), "id", "n"))
+        groups = named.groupBy("sig").agg(
             F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("low"), F.min("whole").alias("all_whole"),
             F.max(top).alias("far_top"), F.max(reach).alias("far_reach"), lead.alias("lead"),
         )
+        groups = groups.filter("x <> y").select("sig", "low", "all_whole", "far_top", "far_reach", F.col("lead.id").alias("center"), F.col("lead.n").alias("center_n"))
+        groups = labelled(groups, "center", "center_label")
         own = F.when(F.col("all_whole"), top).otherwise(reach)
         theirs = F.when(F.col("all_whole"), F.col("far_top")).otherwise(F.col("far_reach"))
-        left = open_.join(groups.filter("x <> y"), "sig").filter((own >= F.col("low")) & (theirs >= F.col("n")))
-        # The leader's component needs only those that can be linked with a member of another one.
-        alien = left.filter("label <> lead.label").groupBy("sig").agg(F.min("n").alias("alien_low"), F.max(own).alias("alien_far"))
-        near = (own >= F.col("alien_low")) & (F.col("alien_far") >= F.col("n"))
-        left = left.join(alien, "sig").filter(near | F.expr("label <> lead.label"))
-        left = whole_left = released(written(left.select(*open_.columns, "lead"), "open"))
+        left = named.join(groups, "sig").filter((own >= F.col("low")) & (theirs >= F.col("n")))
+        if turn:  # the leader's component needs only those that can be linked with a member of another one
+            alien = left.filter("label <> center_label").groupBy("sig").agg(F.min("n").alias("alien_low"), F.max(own).alias("alien_far"))
+            near = (own >= F.col("alien_low")) & (F.col("alien_far") >= F.col("n"))
+            left = left.join(alien, "sig").filter(near | F.expr("label <> center_label"))
+        left = left.withColumn("apart", F.expr("label <> center_label")).select(*columns, "center", "center_n", "apart")
+        left = released(written(left, "open"))
         dropped(before)
-        pairs = left.filter("label <> lead.label").select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b")
+        pairs = left.filter("apart").select(F.col("id").alias("a"), F.col("center").alias("b"))
+        pairs = pairs if small else pairs.distinct()
+        pairs = pairs.join(hint(side("a")), "a").join(hint(side("b")), "b").filter(fits).select("a", "b").distinct()
         pairs = written(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         more = linked(pairs)
         dropped(pairs)
         done = more if done is None else done.unionByName(more)
         if labels is None or not more.filter("linked").isEmpty():
-            labels = bounded(components(done.filter("linked")).select(F.col("node").alias("id"), F.col("label").alias("to")))
+            labels = bounded(components(done.filter("linked")).select("node", "label"))
+        stay = left.filter("id <> center")
         if not turn:  # how many tokens a member and its group's first leader differ by, where that has been counted
             measured = more.select(F.col("a").alias("id"), F.col("b").alias("center"), "both")
-            left = left.withColumn("center", F.col("lead.id")).join(bounded(measured), ["id", "center"], "left")
-            left = left.withColumn("far", (F.col("n") + F.col("lead.n") - 2 * F.col("both")).cast("int")).drop("center", "both")
-        stay = left.filter("id <> lead.id").select(open_.columns)
-        stay = stay.join(labels, "id", "left").withColumn("label", F.coalesce("to", "label")).select(open_.columns)
-        open_ = before = released(written(stay, "open"))
-        dropped(whole_left)
+            stay = stay.join(bounded(measured), ["id", "center"], "left")
+            stay = stay.withColumn("far", (F.col("n") + F.col("center_n") - 2 * F.col("both")).cast("int"))
+        open_ = before = released(written(stay.select(columns), "open"))
+        dropped(left)
     # What pairs of a group are still in different components and haven't been compared.
+    open_ = labelled(open_.select("sig", "id", "far"))
     mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    rest = open_.select("sig", "id", "label", "far").join(mixed, "sig", "left_semi").join(sized, "id")
+    rest = released(written(open_.join(mixed, "sig", "left_semi"), "rest"))
+    dropped(before)
+    rest = rest.join(hint(sized), "id")
 
     def half(name: str) -> DataFrame:
         return rest.select("sig", *(F.col(c).alias(f"{c}{name}" if c != "id" else name) for c in rest.columns if c != "sig"))
@@ -376,11 +393,11 @@ def row_components(
     crossing = written(crossing.join(known, ["a", "b"], "left_anti"), "crossing")
     more = None if crossing.isEmpty() else linked(crossing).filter("linked")
     if more is not None and not more.isEmpty():
-        labels = components(done.filter("linked").unionByName(more)).select(F.col("node").alias("id"), F.col("label").alias("to"))
+        labels = components(done.filter("linked").unionByName(more)).select("node", "label")
 
-    named = classes.select("id", "hi", "lo", "n", "first").join(labels, "id", "left").withColumn("to", F.coalesce("to", "id"))
-    smallest = named.groupBy("to").agg(F.min("first").alias("component"))
-    named = released(written(named.join(smallest, "to").select("hi", "lo", "n", F.col("to").alias("group"), "component"), "components"))
+    named = labelled(classes.select("id", "hi", "lo", "n", "first"), label="group")
+    smallest = named.groupBy("group").agg(F.min("first").alias("component"))
+    named = released(written(named.join(smallest, "group").select("hi", "lo", "n", "group", "component"), "components"))
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return per_doc.join(named, ["hi", "lo", "n"], "left").select("id", "tx", "n", "group", alone.alias("component"))
 
