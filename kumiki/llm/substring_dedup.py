@@ -203,9 +203,10 @@ class FingerprintIndex:
         return self.spark.table(name)
 
     def _write(self, run: DataFrame, first: int, last: int) -> DataFrame:
-        """Writes a run and opens it; each bucket is one sorted file."""
+        """Writes a run and opens it. Counts are summed by each task before they are dealt, so a very common fingerprint is
+        a row a task; where the session shuffles into as many partitions as there are buckets, each is one sorted file."""
         name = f"kumiki_run_{uuid.uuid4().hex}"
-        dealt = run.repartition(self.buckets, "fp").groupBy("fp").agg(F.sum("n").alias("n"))
+        dealt = run.groupBy("fp").agg(F.sum("n").alias("n"))
         path = self._path(first, last, self.buckets)
         dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", path).saveAsTable(name)
         return self.spark.table(name)
