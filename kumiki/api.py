@@ -9,7 +9,9 @@ from collections import deque
 from datetime import date
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from kumiki.operators.analyze import VERSION, Plan
+from pyspark.sql import types as T
+
+from kumiki.operators.analyze import ANALYSIS, VERSION, Plan
 from kumiki.operators.document import MAX_CHARS, MIN_CHARS, pack
 from kumiki.operators.normalize import normalize
 from kumiki.operators.segment import split_sentences
@@ -72,6 +74,8 @@ class Service:
     def get(self, path: str) -> dict:
         if path == "/health":
             return {"status": "ok"}
+        if path == "/openapi.json":
+            return openapi()
         if path == "/version":
             return {"schema": VERSION, "words": len(self.dictionary), "entities": len(self.kinds)}
         raise Refused(404, "E705", f"no such path: {path}")
@@ -97,6 +101,37 @@ class Service:
         return {k: v for k, v in found.items() if k != "tokens"} if body.get("semantic_only") else found
 
 
+def json_schema(kind: T.DataType) -> dict:
+    """The JSON schema of a Spark type."""
+    if isinstance(kind, T.StructType):
+        return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind.fields}}
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType)}
+    names = {T.StringType: "string", T.BooleanType: "boolean", T.DoubleType: "number", T.IntegerType: "integer"}
+    return {"type": [names[type(kind)], "null"]}
+
+
+def openapi() -> dict:
+    """A description of the routes; that of the analysis is made from its Spark type."""
+    text = {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "maxLength": MAX_TEXT}}}
+    body = {"required": True, "content": {"application/json": {"schema": text}}}
+    answer = lambda schema: {"200": {"description": "ok", "content": {"application/json": {"schema": schema}}}}
+    paths = {p: {"get": {"responses": answer({"type": "object"})}} for p in ("/health", "/version")}
+    paths |= {p: {"post": {"requestBody": body, "responses": answer({"type": "object"})}} for p in ("/tokenize", "/query", "/chunk")}
+    paths["/analyze"] = {"post": {"requestBody": body, "responses": answer(json_schema(ANALYSIS))}}
+    return {"openapi": "3.1.0", "info": {"title": "kumiki", "version": VERSION}, "paths": paths}
+
+
+def schema_markdown(kind: T.StructType, name: str = "analysis") -> str:
+    """The fields of a struct and of the structs in it, as tables."""
+    out, inner = [f"## {name}", "", "| field | type |", "|---|---|"], []
+    for f in kind.fields:
+        part = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+        out.append(f"| {f.name} | {'list of ' if part is not f.dataType else ''}{part.typeName()} |")
+        inner += [schema_markdown(part, f"{name}.{f.name}")] if isinstance(part, T.StructType) else []
+    return "\n".join([*out, "", *inner])
+
+
 def server(service: Service, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
     """A server of the routes; serve_forever() runs it."""
 

@@ -69,6 +69,17 @@ def nearest_before(df: DataFrame, by: str, order: list[str], value: Column, name
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def anaphora(mentions: DataFrame, pronouns: dict[str, str]) -> DataFrame:
+    """text_id, mention_id, surface, antecedent, confidence: for each mention that is a pronoun the nearest mention
+    before it of the type that the pronoun stands for; mentions: text_id, mention_id, surface, type (null for none)."""
+    stands = F.create_map(*(F.lit(x) for pair in pronouns.items() for x in pair))[F.col("surface")]
+    rows = mentions.withColumn("stands", stands).withColumn("kind", F.coalesce("stands", "type")).filter("kind IS NOT NULL")
+    w = Window.partitionBy("text_id", "kind").orderBy("mention_id").rowsBetween(Window.unboundedPreceding, -1)
+    name = F.when(F.col("stands").isNull(), F.col("mention_id"))
+    found = rows.withColumn("antecedent", F.last(name, ignorenulls=True).over(w)).filter("stands IS NOT NULL AND antecedent IS NOT NULL")
+    return found.select("text_id", "mention_id", "surface", "antecedent", F.lit(0.5).alias("confidence"))
+
+
 def pack(pieces: list[tuple[str, bool, frozenset]], max_chars: int, min_chars: int) -> list[list[int]]:
     """Groups of pieces (text, heading, topics) in order: a heading begins a group, a group ends at the size limit, or
     when it is twice the least size and the topics change."""

@@ -104,6 +104,12 @@ def known_hiragana(*lexicons: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def attested_words(tokens: DataFrame, least: int = 3) -> DataFrame:
+    """word, n: pieces of two kanji or more that occur so often, for the splitting of compounds."""
+    kanji = tokens.filter(F.col("piece").rlike("^[\\u4E00-\\u9FFF\\u3005]{2,}$"))
+    return kanji.groupBy(F.col("piece").alias("word")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
 # How lexicons weigh in the scoring of affect.
 SOURCE_WEIGHT = {"emotion": 1.0, "slang": 0.9, "external": 0.5, "sentiment": 1.0, "example": 0.3}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kumiki.operators.retrieval import hybrid, retrieval_metrics, top_k
@@ -106,6 +106,16 @@ def overlaps(a: DataFrame, b: DataFrame, by: str, cell: int = 1000) -> DataFrame
     return x.join(y, [by, "cell"]).filter(meet & first).drop("cell", "a_cells", "b_cells")
 
 
+def template_corpus(spark: SparkSession, templates: list[str], slots: dict[str, list[str]], n: int, seed: int) -> DataFrame:
+    """id, template, text: n texts of templates in turn, each {slot} filled from its pool by the id and the seed."""
+    rows = spark.range(n).withColumn("template", F.col("id") % len(templates))
+    text = F.element_at(F.array(*map(F.lit, templates)), (F.col("template") + 1).cast("int"))
+    for i, (slot, pool) in enumerate(sorted(slots.items())):
+        at = (F.col("id") * 7 + i * 31 + seed) % len(pool) + 1
+        text = F.replace(text, F.lit(f"{{{slot}}}"), F.element_at(F.array(*map(F.lit, pool)), at.cast("int")))
+    return rows.select("id", "template", text.alias("text"))
+
+
 # What the text of an answer to each kind of question looks like, and the hits that make a full score.
 STEPS = (
     "```|^\\s*[$#>] |^\\s*(?:\\d+[.)]|[①-⑩]|[-*] )|→|"

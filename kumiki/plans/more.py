@@ -329,22 +329,209 @@ def examples(spark, d):
 
 @query(
     "complaints",
-    """WITH s AS (SELECT user_id AS text_id, CASE event_type WHEN 'purchase' THEN 'request' ELSE event_type END AS intent, round(max(value) / 1000, 4) AS score FROM events GROUP BY ALL),
+    """WITH s AS (SELECT user_id AS text_id, CASE event_type WHEN 'purchase' THEN 'request' ELSE event_type END AS intent, round(max(value) / 1000, 6) AS score FROM events GROUP BY ALL),
     u AS (SELECT * FROM s UNION ALL SELECT text_id, 'complaint', score + 0.01 FROM s WHERE intent = 'request' AND text_id % 2 = 0)
     SELECT text_id, intent, round(score, 6) AS score, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, intent) AS rank FROM u""",
 )
 def complaint_rows(spark, d):
     kind = F.when(F.col("event_type") == "purchase", "request").otherwise(F.col("event_type"))
     e = table(spark, d, "events").select(F.col("user_id").alias("text_id"), kind.alias("intent"), "value")
-    s = e.groupBy("text_id", "intent").agg(F.round(F.max("value") / 1000, 4).alias("score"))
+    s = e.groupBy("text_id", "intent").agg(F.round(F.max("value") / 1000, 6).alias("score"))
     polarity = s.select("text_id").distinct().withColumn("polarity", F.when(F.col("text_id") % 2 == 0, "negative").otherwise("positive"))
     return sm.complaints(s, polarity).select("text_id", "intent", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("rate_limit_admission")
+@query(
+    "rate_limit_admission",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) / 1e6 AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    r AS (SELECT key, n, ts, true AS admitted, [ts] AS held FROM e WHERE n = 1
+          UNION ALL SELECT key, n, ts, len(h) < 3, CASE WHEN len(h) < 3 THEN list_append(h, ts) ELSE h END
+          FROM (SELECT e.key, e.n, e.ts, list_filter(r.held, lambda x: x > e.ts - 60) AS h FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+    SELECT key, ts, admitted FROM r""",
+)
 def rate_limit_admission(spark, d):
-    """Which events pass a limit of three a minute for each user, replayed; no SQL twin, as admitted calls alone count."""
+    """Which events pass a limit of three a minute for each user, replayed: admitted calls alone count."""
     from kumiki.streaming.streams import rate_limit
 
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
     return rate_limit(e, 3)
+
+
+def analysed(spark, d, text, **how):
+    """The plan of a text made from each event."""
+    from kumiki.operators.analyze import analyze
+
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return analyze(e.select("event_id", text.alias("text")), "event_id", "text", **how)
+
+
+@query(
+    "time_entities",
+    """WITH e AS (SELECT event_id, ts, event_id % 12 + 1 AS m, event_id % 8 + 1 AS r FROM events)
+    SELECT event_id, 'DATE' AS type, strftime(ts, '%Y-%m-%d') AS value, 3::BIGINT AS begin FROM e
+    UNION ALL SELECT event_id, 'DATE', printf('--%02d', m), 3 + length(strftime(ts, '%Y年%-m月%-d日、')) FROM e
+    UNION ALL SELECT event_id, 'TIME', strftime(ts, '%H:%M'), 3 + length(strftime(ts, '%Y年%-m月%-d日、')) + length(m || '月と') FROM e
+    UNION ALL SELECT event_id, 'DATE', 'FY' || (2018 + r), 3 + length(strftime(ts, '%Y年%-m月%-d日、')) + length(m || '月と') + length(strftime(ts, '%-H時%-M分。')) FROM e""",
+)
+def time_entities(spark, d):
+    from kumiki.operators.analyze import child
+
+    text = F.concat(
+        F.lit("取引は"), F.date_format("ts", "y年M月d日、"), (F.col("event_id") % 12 + 1).cast("string"), F.lit("月と"), F.date_format("ts", "H時m分。"),
+        F.lit("令和"), (F.col("event_id") % 8 + 1).cast("string"), F.lit("年度。"),
+    )
+    found = child(analysed(spark, d, text), "entities").filter("source = 'time'")
+    return found.select(F.col("text_id").alias("event_id"), "type", F.col("value_str").alias("value"), F.col("begin").cast("long").alias("begin"))
+
+
+@query(
+    "money_entities",
+    """WITH e AS (SELECT event_id, event_id % 900 + 1 AS n, event_id % 9 + 1 AS k FROM events)
+    SELECT event_id, 'MONEY' AS type, (n * 10000 + k * 1000)::DOUBLE AS value, 'JPY' AS currency, 3::BIGINT AS begin FROM e
+    UNION ALL SELECT event_id, 'MONEY', n + 0.5, 'USD', 3 + length(n || '万' || k || '千円と') FROM e
+    UNION ALL SELECT event_id, 'QUANTITY', k * 1000000.0, NULL, 3 + length(n || '万' || k || '千円と$' || n || '.5、') FROM e""",
+)
+def money_entities(spark, d):
+    from kumiki.operators.analyze import child
+
+    n, k = (F.col("event_id") % 900 + 1).cast("string"), (F.col("event_id") % 9 + 1).cast("string")
+    text = F.concat(F.lit("価格は"), n, F.lit("万"), k, F.lit("千円と$"), n, F.lit(".5、"), k, F.lit("00万人。"))
+    found = child(analysed(spark, d, text), "entities").filter("source = 'quantity'")
+    return found.select(F.col("text_id").alias("event_id"), "type", F.col("value_num").alias("value"), "currency", F.col("begin").cast("long").alias("begin"))
+
+
+NAMES, THINGS = ["東京", "会社", "ネコ"], ["手紙", "データ"]
+
+
+@query(
+    "predicate_arguments",
+    f"""WITH e AS (SELECT event_id, {NAMES!r}[event_id % 3 + 1] AS s, {THINGS!r}[event_id % 2 + 1] AS o, event_id % 5 = 0 AS neg FROM events)
+    SELECT event_id, 'subject' AS role, s AS text, 0::BIGINT AS begin, neg AS negated, s AS subject, o AS object FROM e
+    UNION ALL SELECT event_id, 'object', o, length(s) + 1, neg, s, o FROM e""",
+)
+def predicate_arguments(spark, d):
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % n + 1).cast("int"))
+    text = F.concat(pick(NAMES, 3), F.lit("が"), pick(THINGS, 2), F.lit("を"), F.when(F.col("event_id") % 5 == 0, "買わない").otherwise("買った"), F.lit("。"))
+    a = analysed(spark, d, text).select("text_id", "analysis.predicates", F.col("analysis.relations")[0].alias("r"))
+    p = a.select("text_id", "r", F.explode("predicates").alias("p")).select("text_id", "r", "p.negated", F.explode("p.arguments").alias("x"))
+    return p.select(
+        F.col("text_id").alias("event_id"), "x.role", "x.text", F.col("x.begin").cast("long").alias("begin"), "negated", "r.subject", "r.object"
+    )
+
+
+@query(
+    "attribution",
+    f"""WITH e AS (SELECT event_id, {NAMES!r}[event_id % 3 + 1] AS s, event_id % 2 AS way FROM events)
+    SELECT event_id, CASE way WHEN 0 THEN s ELSE '手紙' END AS target, CASE way WHEN 0 THEN 1.0 ELSE 1.2 END::DOUBLE AS weight FROM e""",
+)
+def attributions(spark, d):
+    from kumiki.operators.plan import affect_hits, attribution
+
+    s = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("event_id") % 3 + 1).cast("int"))
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(s, F.lit("は嬉しい"))).otherwise(F.concat(s, F.lit("だけれど手紙が嬉しい")))
+    a = analysed(spark, d, text, dictionary={"嬉しい": "形容詞"})
+    words = values(spark, "surface string, base_emotion string, polarity string, intensity double, seq int", [("嬉しい", "joy", "positive", 0.8, 1)])
+    hits = affect_hits(a, words)
+    found = attribution(a, hits).join(hits.select("text_id", "pos", "clause_weight"), ["text_id", "pos"])
+    return found.select(F.col("text_id").alias("event_id"), "target", F.col("clause_weight").alias("weight"))
+
+
+@query(
+    "sentence_intents",
+    """WITH e AS (SELECT event_id, event_id % 4 AS way, event_id % 3 AS felt FROM events)
+    SELECT event_id, CASE way WHEN 0 THEN 'question' WHEN 1 THEN CASE felt WHEN 0 THEN 'negative_feedback' ELSE 'request' END
+            WHEN 2 THEN CASE felt WHEN 0 THEN 'negative_feedback' ELSE 'inform' END ELSE CASE felt WHEN 0 THEN 'negative_feedback' ELSE 'unknown' END END AS label,
+        CASE way WHEN 0 THEN 'question' WHEN 1 THEN 'request' ELSE 'statement' END AS speech_act, CASE felt WHEN 0 THEN 'negative' ELSE 'none' END AS evaluation FROM e""",
+)
+def sentence_intents(spark, d):
+    from kumiki.operators.intent import classify
+
+    way = F.col("event_id") % 4
+    text = F.when(way == 0, "どう使うのか").when(way == 1, "連絡ください").when(way == 2, "商品が届く。").otherwise("商品X")
+    sure = F.when(F.col("event_id") % 3 == 0, 0.5)
+    e = table(spark, d, "events").select(
+        F.col("event_id").alias("text_id"), text.alias("text"), F.array().cast("array<string>").alias("quoted"), F.array().cast("array<string>").alias("types"),
+        F.when(sure.isNotNull(), "negative").alias("evaluation"), sure.alias("evaluation_confidence"),
+        *(F.lit(None).cast("string").alias(c) for c in ("emotion", "affect")), F.lit(None).cast("double").alias("affect_confidence"),
+    )
+    rules = values(spark, "intent string, pattern string, score double, priority int", [("question", "どう|いつ", 0.5, 100), ("request", "ください", 0.9, 100)])
+    return classify(e, rules).select(F.col("text_id").alias("event_id"), "label", "axes.speech_act", "axes.evaluation")
+
+
+@query(
+    "conjugations",
+    """WITH v AS (SELECT * FROM (VALUES ('書', 'き', 'く'), ('話', 'し', 'す'), ('読', 'み', 'む'), ('死', 'に', 'ぬ'), ('泳', 'ぎ', 'ぐ')) AS t(k, i, u)),
+    f AS (SELECT * FROM (VALUES ('ます', '丁寧'), ('ました', '丁寧過去'), ('ません', '丁寧否定'), ('たい', '希望')) AS t(e, form))
+    SELECT k || i || e AS surface, k || u AS lemma, form FROM v, f""",
+)
+def conjugations(spark, d):
+    from kumiki.operators.tokenizer import conjugation
+
+    verbs = values(spark, "k string, i string", [("書", "き"), ("話", "し"), ("読", "み"), ("死", "に"), ("泳", "ぎ")])
+    ends = values(spark, "e string", [("ます",), ("ました",), ("ません",), ("たい",)])
+    whole = verbs.crossJoin(F.broadcast(ends)).select(F.concat("k", "i", "e").alias("surface"))  # five verbs, four endings
+
+    @F.pandas_udf("lemma string, form string")
+    def run(surfaces):
+        import pandas as pd
+
+        found = [conjugation(x, "動詞") for x in surfaces]
+        return pd.DataFrame({"lemma": [f[0] for f in found], "form": [f[2] for f in found]})
+
+    return whole.select("surface", run("surface").alias("x")).select("surface", "x.lemma", "x.form")
+
+
+PEOPLE = {"彼": "PERSON", "同社": "ORGANIZATION", "同地": "LOCATION"}
+
+
+@query(
+    "anaphora_types",
+    """WITH m AS (SELECT user_id AS text_id, event_id AS mention_id, CASE event_id % 7 WHEN 0 THEN '彼' WHEN 1 THEN '同社' WHEN 2 THEN '同地' ELSE event_type END AS surface,
+        CASE event_id % 7 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORGANIZATION' WHEN 2 THEN 'LOCATION' WHEN 3 THEN 'PERSON' WHEN 4 THEN 'ORGANIZATION' WHEN 5 THEN 'LOCATION' END AS type,
+        event_id % 7 < 3 AS pro FROM events),
+    a AS (SELECT *, last_value(CASE WHEN NOT pro THEN mention_id END IGNORE NULLS) OVER (PARTITION BY text_id, type ORDER BY mention_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antecedent
+          FROM m WHERE type IS NOT NULL)
+    SELECT text_id, mention_id, antecedent FROM a WHERE pro AND antecedent IS NOT NULL""",
+)
+def anaphora_types(spark, d):
+    way = F.col("event_id") % 7
+    surface = F.when(way == 0, "彼").when(way == 1, "同社").when(way == 2, "同地").otherwise(F.col("event_type"))
+    kind = F.when(way == 3, "PERSON").when(way == 4, "ORGANIZATION").when(way == 5, "LOCATION")
+    m = table(spark, d, "events").select(F.col("user_id").alias("text_id"), F.col("event_id").alias("mention_id"), surface.alias("surface"), kind.alias("type"))
+    return doc.anaphora(m, PEOPLE).select("text_id", "mention_id", "antecedent")
+
+
+@query(
+    "template_corpus",
+    """WITH p AS (SELECT range AS id, ['{who}は{what}を買った', '{what}が{who}に届く', '{who}'][range % 3 + 1] AS t,
+        ['田中', '佐藤', '鈴木', '高橋', '伊藤'][(range * 7 + 1 * 31 + 20) % 5 + 1] AS who, ['本', '車'][(range * 7 + 0 * 31 + 20) % 2 + 1] AS what FROM range(500))
+    SELECT id, id % 3 AS template, replace(replace(t, '{who}', who), '{what}', what) AS text FROM p""",
+)
+def template_corpus(spark, d):
+    found = ms.template_corpus(spark, ["{who}は{what}を買った", "{what}が{who}に届く", "{who}"], {"what": ["本", "車"], "who": ["田中", "佐藤", "鈴木", "高橋", "伊藤"]}, 500, 20)
+    return found
+
+
+OVERLAY = [("期待外れ", 1), ("外れ", 2), ("課金高すぎ", 3), ("高すぎ", 4), ("高", 5)]
+
+
+@query(
+    "evaluation_overlay",
+    f"""WITH o AS {sql_values("surface, seq", OVERLAY)}, h AS (SELECT DISTINCT surface FROM o)
+    SELECT h.surface, o.surface AS evaluation, substr(h.surface, 1, strpos(h.surface, o.surface) - 1) AS target FROM h JOIN o ON contains(h.surface, o.surface) AND h.surface <> o.surface
+    QUALIFY row_number() OVER (PARTITION BY h.surface ORDER BY length(o.surface) DESC, o.surface) = 1""",
+)
+def evaluation_overlay(spark, d):
+    words = values(spark, "surface string, seq int", OVERLAY)
+    return sm.evaluation_overlay(words.select("surface").distinct(), words)
+
+
+@query(
+    "attested_words",
+    """WITH w AS (SELECT CASE event_type WHEN 'click' THEN '東京' WHEN 'error' THEN '大阪市' WHEN 'purchase' THEN '買う' ELSE '京' END AS piece FROM events)
+    SELECT piece AS word, count(*) AS n FROM w WHERE regexp_full_match(piece, '[\\x{4E00}-\\x{9FFF}\\x{3005}]{2,}') GROUP BY 1 HAVING count(*) >= 3""",
+)
+def attested_words(spark, d):
+    kind = F.col("event_type")
+    piece = F.when(kind == "click", "東京").when(kind == "error", "大阪市").when(kind == "purchase", "買う").otherwise("京")
+    return lx.attested_words(table(spark, d, "events").select(piece.alias("piece")), 3)

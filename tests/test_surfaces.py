@@ -104,3 +104,19 @@ def test_sources(spark, tmp_path):
 def test_vector_statements():
     assert "vector(3)" in vector_ddl("t", 3)[0] and "hnsw" in vector_ddl("t", 3)[1]
     assert "ON CONFLICT (doc_id, chunk_id)" in vector_upsert("t") and "dates && %(dates)s" in vector_candidates_sql("t", 5, True)
+
+
+def test_schemas():
+    found = api.openapi()["paths"]["/analyze"]["post"]["responses"]["200"]["content"]["application/json"]["schema"]
+    assert found["properties"]["tokens"]["items"]["properties"]["begin"] == {"type": ["integer", "null"]}
+    assert "| tokens | list of struct |" in api.schema_markdown(api.ANALYSIS) and "## analysis.tokens" in api.schema_markdown(api.ANALYSIS)
+
+
+def test_stages_can_be_left_out_and_tokenisers_given(spark):
+    from kumiki.operators.analyze import analyze
+
+    d = spark.createDataFrame([(1, "東京は 3日前")], "id int, text string")
+    a = analyze(d, "id", "text", off=("entities", "chunks"), tokens=lambda t: [(t[:2], "名詞", 0, 2)]).first().analysis
+    assert a.entities == [] and a.chunks == [] and [t.surface for t in a.tokens] == ["東京"]
+    b = analyze(d, "id", "text", tokens=lambda t: 1 / 0).first().analysis
+    assert [e.code for e in b.errors] == ["E201"] and len(b.tokens) == 6
