@@ -189,8 +189,17 @@ def retrieval_metrics(ranking: DataFrame, gold: DataFrame, cuts: tuple[int, ...]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, candidates: int = 50) -> DataFrame:
-    """Vector candidates of each query, reranked: index (doc_id, vector, signals), queries (query_id, vector)."""
-    pairs = index.join(F.broadcast(queries.select("query_id", F.col("vector").alias("__q"))))
+    """Vector candidates of each query, reranked: index (doc_id, vector, signals), queries (query_id, vector).
+
+    The queries are a stated set, compared with all rows in blocks of MAX_QUERIES at most.
+    """
+    asked = queries.select("query_id", F.col("vector").alias("__q"))
+    many = asked.limit(MAX_QUERIES + 1).count()
+    if many > MAX_QUERIES:
+        blocks = max(2, -(-asked.count() // MAX_QUERIES))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [search(index, queries.filter(block == i), k, candidates) for i in range(blocks)])
+    pairs = index.join(F.broadcast(asked), F.lit(True))
     near = top_k(pairs.withColumn("score", cosine(F.col("vector"), F.col("__q"))), candidates).drop("__q", "vector", "rank")
     return rerank(near.withColumnRenamed("score", "semantic_similarity"), k)
 

@@ -535,3 +535,43 @@ def attested_words(spark, d):
     kind = F.col("event_type")
     piece = F.when(kind == "click", "東京").when(kind == "error", "大阪市").when(kind == "purchase", "買う").otherwise("京")
     return lx.attested_words(table(spark, d, "events").select(piece.alias("piece")), 3)
+
+
+@query(
+    "vector_search",
+    """WITH c AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, v.label, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS s
+               FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS n FROM c),
+    r AS (SELECT query_id, doc_id, round((s * 0.4 + (label % 3) / 2 * 0.2 + CASE WHEN label % 2 = 0 THEN 0.05 ELSE 0 END) / (0.6 + CASE WHEN label % 2 = 0 THEN 0.1 ELSE 0 END), 4) AS score FROM t WHERE n <= 50)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 5""",
+)
+def vector_search(spark, d):
+    """The 50 nearest of every vector whose id is divisible by 100, reranked with two more signals."""
+    from kumiki.operators.retrieval import search
+
+    e = table(spark, d, "embeddings")
+    none = F.lit(None).cast("double")
+    index = e.select(
+        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), none.alias("entity_match"), (F.col("label") % 3 / 2).alias("keyword_overlap"),
+        F.when(F.col("label") % 2 == 0, 0.5).alias("intent_match"), none.alias("time_match"), none.alias("topic_match"), none.alias("sentiment_match"),
+    )
+    found = search(index, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+CANON = [("猫", "ねこ|ネコ", 1), ("犬", "いぬ", 2)]
+
+
+@query(
+    "normalised_by_rules",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '猫と' WHEN 1 THEN '犬が' ELSE 'イヌが' END || event_id || 'km' AS normalized,
+        CASE event_id % 3 WHEN 2 THEN 3 ELSE 2 END + length(event_id::VARCHAR)::BIGINT AS km_at FROM events""",
+)
+def normalised_by_rules(spark, d):
+    """Rewriting by the spellings of a group, after compatibility forms; the place of the unit in the normalised text."""
+    g = values(spark, "canonical string, synonyms string, seq int", CANON).withColumn("synonyms", lx.split_list(F.col("synonyms")))
+    rules = {r["word"]: r["canonical"] for r in lx.canonical_map(g).collect()}  # a lexicon of two groups
+    way = F.col("event_id") % 3
+    text = F.concat(F.when(way == 0, "ﾈｺと").when(way == 1, "いぬが").otherwise("ｲﾇが"), F.col("event_id").cast("string"), F.lit("㎞"))
+    x = table(spark, d, "events").select("event_id", nm.normalizer(rules)(text).alias("x"))
+    return x.select("event_id", "x.normalized", (F.locate("km", "x.normalized") - 1).cast("long").alias("km_at"))
