@@ -292,20 +292,20 @@ def row_components(
     reach = F.floor(100 * n / percent)
     top = F.least(reach, F.floor((n - F.col("dead")) * (100 + percent) / percent) - n)
 
-    def side(name: str) -> DataFrame:
-        return sized.select(F.col("id").alias(name), *(F.col(c).alias(c + name) for c in ("n", "whole", "dead", *BITS)))
+    def bits(name: str) -> DataFrame:
+        return sized.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), *(F.col(c).alias(c + name) for c in BITS))
 
     total = F.col("na") + F.col("nb")
     overlap = F.ceil(percent * total / (100 + percent))
     only_a = F.when(F.col("wholeb"), F.col("deada")).otherwise(0)
     only_b = F.when(F.col("wholea"), F.col("deadb")).otherwise(0)
     differ = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in BITS), F.lit(0))
-    fits = (
+    sizes_fit = (
         (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         & (F.col("na") - only_a >= overlap)
         & (F.col("nb") - only_b >= overlap)
-        & (differ <= total - 2 * overlap)
     )
+    bits_fit = differ <= total - 2 * overlap
     least = F.least("na", "nb")
     spare = F.floor((least - F.floor((percent * least + 99) / 100)) / SPARE)
 
@@ -325,9 +325,7 @@ def row_components(
         dropped(busy, sets)
         return out
 
-    small = fits_broadcast(sized)
-    hint = F.broadcast if small else lambda df: df
-    open_ = members.join(hint(sized.drop(*BITS)), "id").withColumn("far", F.lit(None).cast("int"))
+    open_ = members.join(bounded(sized.drop(*BITS)), "id").withColumn("far", F.lit(None).cast("int"))
     columns = open_.columns
     done = labels = None
     before = members
@@ -340,12 +338,12 @@ def row_components(
 
     for turn in range(rounds):
         named = labelled(open_)
-        lead = F.min(F.struct((F.col("dead") / F.col("n")).alias("share"), "id", "n"))
+        lead = F.min(F.struct((F.col("dead") / F.col("n")).alias("share"), "id", "n", "dead", "whole"))
         groups = named.groupBy("sig").agg(
             F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("low"), F.min("whole").alias("all_whole"),
             F.max(top).alias("far_top"), F.max(reach).alias("far_reach"), lead.alias("lead"),
         )
-        groups = groups.filter("x <> y").select("sig", "low", "all_whole", "far_top", "far_reach", F.col("lead.id").alias("center"), F.col("lead.n").alias("center_n"))
+        groups = groups.filter("x <> y").select("sig", "low", "all_whole", "far_top", "far_reach", F.col("lead.id").alias("center"), F.col("lead").alias("lead"))
         groups = labelled(groups, "center", "center_label")
         own = F.when(F.col("all_whole"), top).otherwise(reach)
         theirs = F.when(F.col("all_whole"), F.col("far_top")).otherwise(F.col("far_reach"))
@@ -354,12 +352,13 @@ def row_components(
             alien = left.filter("label <> center_label").groupBy("sig").agg(F.min("n").alias("alien_low"), F.max(own).alias("alien_far"))
             near = (own >= F.col("alien_low")) & (F.col("alien_far") >= F.col("n"))
             left = left.join(alien, "sig").filter(near | F.expr("label <> center_label"))
-        left = left.withColumn("apart", F.expr("label <> center_label")).select(*columns, "center", "center_n", "apart")
-        left = released(written(left, "open"))
+        both = {"na": "n", "deada": "dead", "wholea": "whole", "nb": "lead.n", "deadb": "lead.dead", "wholeb": "lead.whole"}
+        left = left.withColumns({name: F.col(c) for name, c in both.items()})
+        left = left.withColumn("compare", F.expr("label <> center_label") & sizes_fit)
+        left = released(written(left.select(*columns, "center", F.col("nb").alias("center_n"), "compare"), "open"))
         dropped(before)
-        pairs = left.filter("apart").select(F.col("id").alias("a"), F.col("center").alias("b"))
-        pairs = pairs if small else pairs.distinct()
-        pairs = pairs.join(hint(side("a")), "a").join(hint(side("b")), "b").filter(fits).select("a", "b").distinct()
+        pairs = left.filter("compare").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+        pairs = pairs.join(bits("a"), "a").join(bits("b"), "b").filter(bits_fit).select("a", "b")
         pairs = written(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         more = linked(pairs)
         dropped(pairs)
@@ -378,7 +377,7 @@ def row_components(
     mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
     rest = released(written(open_.join(mixed, "sig", "left_semi"), "rest"))
     dropped(before)
-    rest = rest.join(hint(sized), "id")
+    rest = rest.join(sized, "id")
 
     def half(name: str) -> DataFrame:
         return rest.select("sig", *(F.col(c).alias(f"{c}{name}" if c != "id" else name) for c in rest.columns if c != "sig"))
@@ -386,7 +385,7 @@ def row_components(
     # Of the tokens by which two sets differ from a third, those of their own can't be among what they share.
     apart = F.col("fara") + F.col("farb") - 2 * F.least(F.col("fara") - F.col("deada"), F.col("farb") - F.col("deadb"))
     close = ~(F.col("wholea") & F.col("wholeb")) | F.coalesce(apart <= total - 2 * overlap, F.lit(True))
-    both = half("a").join(half("b"), "sig").filter((F.col("a") > F.col("b")) & (F.col("labela") != F.col("labelb")) & close & fits)
+    both = half("a").join(half("b"), "sig").filter((F.col("a") > F.col("b")) & (F.col("labela") != F.col("labelb")) & close & sizes_fit & bits_fit)
     crossing = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.first(spare).alias("spare"))
     crossing = written(crossing.filter("count > spare").select("a", "b"), "crossing")
     known = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -87,8 +87,11 @@ class Linear:
     ):
         n, one = len(y), int((y > 0).sum())
         ones, zeros = weight[y > 0].sum(), weight[y == 0].sum()
-        seen = [np.bincount(flat[rows_of], minlength=1 << BITS).astype(float) for rows_of in (y[rows] > 0, y[rows] == 0)]
-        best = np.flatnonzero(likelihood_ratio(*seen, one, n - one) >= SIGNIFICANT)
+        met = np.bincount(flat, minlength=1 << BITS)
+        places = np.flatnonzero(met)
+        with_one = np.bincount(flat[(y > 0)[rows]], minlength=1 << BITS)[places].astype(float)
+        best = places[likelihood_ratio(with_one, met[places] - with_one, one, n - one) >= SIGNIFICANT]
+        del met, with_one
         self.column = np.full(1 << BITS, -1, np.int32)
         self.column[best] = np.arange(len(best))
         rows, cols = self._chosen(rows, flat)
