@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from kumiki.llm.components import components
 from kumiki.llm.kernel import FOLD, U, splitmix, texts_of, trimmed, window_hashes, windows_per_text, word_hashes, words
-from kumiki.llm.shared import bounded, dropped, fits_broadcast, released, small_batches, without, without_repeats, written
+from kumiki.llm.shared import bounded, dropped, released, small_batches, without, without_repeats, written
 
 #: The frequent class: tokens of at least so many documents by the blocks' reports, and no more of them than this.
 FREQUENT_DOCS, FREQUENT_TOKENS = 4, 1 << 21
@@ -190,11 +190,29 @@ def name_of(tokens: np.ndarray, odd: dict) -> int:
     return odd.get((hi, lo), hi) if odd else hi
 
 
-def token_rows(batches, k: int, odd: dict):
+#: Bytes of sets that are handed on in one go.
+SENT_BYTES = 8 << 20
+
+
+def token_rows(batches, k: int, names: list[str]):
+    """names, tokens for each of the rows of ids that a text is asked for (its second column)."""
+
+    def sent(ids: list[dict], sets: list[bytes]) -> pa.RecordBatch:
+        cols = [pa.array([x[n] for x in ids], pa.int64()) for n in names]
+        return pa.record_batch([*cols, pa.array(sets, pa.binary())], [*names, "tokens"])
+
     for batch in batches:
-        sets = [s for s in shingle_sets(batch.column(1), k) if len(s)]
-        names = pa.array([name_of(s, odd) for s in sets], pa.int64())
-        yield pa.record_batch([names, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
+        ids, sets, size = [], [], 0
+        for tokens, asked in zip(shingle_sets(batch.column(0), k), batch.column(1).to_pylist(), strict=True):
+            raw = tokens.tobytes()
+            for pair in asked:
+                ids.append(pair)
+                sets.append(raw)
+                size += len(raw)
+                if size > SENT_BYTES:
+                    yield sent(ids, sets)
+                    ids, sets, size = [], [], 0
+        yield sent(ids, sets)
 
 
 def linked_rows(batches, percent: int):
@@ -225,9 +243,9 @@ def most_frequent(counts: DataFrame) -> np.ndarray:
 
 
 def named_sets(per_doc: DataFrame) -> tuple[DataFrame, dict]:
-    """Classes of equal sets (id: their name, hi, lo, n, bits, first: their smallest doc id), and the names of the sets
+    """Classes of equal sets (id: their name, hi, lo, n, bits, first: id and tx of their smallest document), and the names of the sets
     whose first half of the digest is another set's as well: by chance about one of 2 ** 64 pairs of sets."""
-    whole = per_doc.groupBy("hi", "lo", "n", *BITS).agg(F.min("id").alias("first"))
+    whole = per_doc.groupBy("hi", "lo", "n", *BITS).agg(F.min(F.struct("id", "tx")).alias("first"))
     whole = written(whole, "classes")
     twice = whole.groupBy("hi").agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("low")).filter("c > 1").select("hi", "low")
     found = whole.join(F.broadcast(twice), "hi").filter("lo <> low").select("hi", "lo", F.xxhash64("hi", "lo").alias("to")).collect()
@@ -309,21 +327,24 @@ def row_components(
     least = F.least("na", "nb")
     spare = F.floor((least - F.floor((percent * least + 99) / 100)) / SPARE)
 
+    def sets_of(asked: DataFrame, name: str) -> DataFrame:
+        """The columns of asked, with the set of the class that name holds, made from the text of its first document."""
+        place = classes.select(F.col("id").alias(name), F.col("first.id").alias("id"), F.col("first.tx").alias("tx"))
+        # One row for a document, with all that is asked of it, so that its set is made once.
+        wanted = asked.join(place, name).groupBy("id", "tx").agg(F.collect_list(F.struct(*asked.columns)).alias("asked"))
+        wanted = written(wanted, "asked")
+        found = base.join(bounded(wanted), ["id", "tx"]).select("text", "asked")
+        schema = ", ".join(f"{c} long" for c in asked.columns) + ", tokens binary"
+        names = asked.columns
+        return found.mapInArrow(lambda it: trimmed(token_rows(it, k, names)), schema)
+
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs with the sizes of their intersections; each set is made from the text of its class's first document."""
-        busy = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        busy = written(busy, "busy")
-        hint = F.broadcast if fits_broadcast(busy) else lambda df: df  # the first documents are no more than the classes
-        at = classes.join(hint(busy), "id", "left_semi").select(F.col("first").alias("id")).distinct()
-        found = base.join(hint(at), "id", "left_semi").select("id", "text")
-        sets = found.mapInArrow(lambda it: trimmed(token_rows(it, k, odd)), "id long, tokens binary")
-        sets = written(sets.join(hint(busy), "id", "left_semi").dropDuplicates(["id"]), "tokens")
-        with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-        both = with_x.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+        """The pairs (a, b) with the sizes of their intersections: the set of a is sent to that of b, which is sent once."""
+        xs = sets_of(pairs.select("a", "b"), "a").withColumnRenamed("tokens", "x")
+        ys = sets_of(pairs.select("b").distinct(), "b").withColumnRenamed("tokens", "y")
+        both = xs.hint("merge").join(ys, "b").select("a", "b", "x", "y")
         out = both.mapInArrow(lambda it: trimmed(linked_rows(it, percent)), "a long, b long, both long, linked boolean")
-        out = released(written(out, "links"))
-        dropped(busy, sets)
-        return out
+        return released(written(out.distinct(), "links"))
 
     open_ = members.join(bounded(sized.drop(*BITS)), "id").withColumn("far", F.lit(None).cast("int"))
     columns = open_.columns
@@ -394,7 +415,7 @@ def row_components(
     if more is not None and not more.isEmpty():
         labels = components(done.filter("linked").unionByName(more)).select("node", "label")
 
-    named = labelled(classes.select("id", "hi", "lo", "n", "first"), label="group")
+    named = labelled(classes.select("id", "hi", "lo", "n", F.col("first.id").alias("first")), label="group")
     smallest = named.groupBy("group").agg(F.min("first").alias("component"))
     named = released(written(named.join(smallest, "group").select("hi", "lo", "n", "group", "component"), "components"))
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
