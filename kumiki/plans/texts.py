@@ -290,8 +290,23 @@ def anaphora(spark, d):
 SURFACES = ["of the", "the", "in the", "that", "de la", "de", "der", "und der", "ción", "for"]
 
 
-@query("longest_match_lexicon")
+def claims_sql() -> str:
+    """Claims of the longest surface first: what has been claimed is blanked out before the next one is looked for."""
+    steps, found = ["d0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"], []
+    for i, surface in enumerate(sorted(set(SURFACES), key=lambda x: (-len(x), x))):
+        n = len(surface)
+        steps.append(f"d{i + 1} AS (SELECT doc_id, replace(t, '{surface}', repeat(chr(1), {n})) AS t FROM d{i})")
+        steps.append(
+            f"p{i} AS (SELECT doc_id, unnest(string_split(t, '{surface}')) AS part, generate_subscripts(string_split(t, '{surface}'), 1) AS i,"
+            f" len(string_split(t, '{surface}')) AS n FROM d{i} WHERE contains(t, '{surface}'))"
+        )
+        end = f"sum(length(part) + {n}) OVER (PARTITION BY doc_id ORDER BY i)"
+        found.append(f"SELECT doc_id, '{surface}' AS surface, CAST({end} - {n} AS INT) AS begin, CAST({end} AS INT) AS \"end\" FROM p{i} QUALIFY i < n")
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(found)}"
+
+
+@query("longest_match_lexicon", claims_sql())
 def longest_match_lexicon(spark, d):
-    """Claimed occurrences of a lexicon in whole documents; rows only, as claims of the longest have no SQL twin."""
+    """Claimed occurrences of a lexicon in whole documents."""
     hits = F.explode(normalize.lexicon_hits(SURFACES)(F.col("text")))
     return table(spark, d, "documents").select("doc_id", hits.alias("hit")).select("doc_id", "hit.surface", "hit.begin", "hit.end")
