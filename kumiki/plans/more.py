@@ -575,3 +575,30 @@ def normalised_by_rules(spark, d):
     text = F.concat(F.when(way == 0, "ﾈｺと").when(way == 1, "いぬが").otherwise("ｲﾇが"), F.col("event_id").cast("string"), F.lit("㎞"))
     x = table(spark, d, "events").select("event_id", nm.normalizer(rules)(text).alias("x"))
     return x.select("event_id", "x.normalized", (F.locate("km", "x.normalized") - 1).cast("long").alias("km_at"))
+
+
+@query(
+    "chunk_lines",
+    """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+    s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i, t, length(t) AS n, regexp_matches(t, '^(#{1,6}\\s|[■□◆◇●▼【])') AS head,
+              list_distinct(list_filter(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 3)) AS topics FROM l WHERE trim(t, ' ') <> ''),
+    g AS (SELECT doc_id, i, 1 AS grp, n AS size, topics AS seen FROM s WHERE i = 1
+          UNION ALL SELECT doc_id, i, CASE WHEN fresh THEN grp + 1 ELSE grp END, CASE WHEN fresh THEN n ELSE size + n END, CASE WHEN fresh THEN topics ELSE list_distinct(list_concat(seen, topics)) END
+          FROM (SELECT s.*, g.grp, g.size, g.seen, s.head OR (g.size + s.n > 400 AND g.size > 0) OR (g.size >= 160 AND len(g.seen) > 0 AND len(s.topics) > 0
+                    AND len(list_intersect(g.seen, s.topics)) / len(list_distinct(list_concat(g.seen, s.topics))) < 0.05) AS fresh
+                FROM g JOIN s ON s.doc_id = g.doc_id AND s.i = g.i + 1)),
+    q AS (SELECT doc_id, grp, sum(n) AS size, arg_min(head, i) AS head FROM s JOIN g USING (doc_id, i) GROUP BY ALL),
+    o AS (SELECT doc_id, grp, 0 AS chunk, size FROM q WHERE grp = 1
+          UNION ALL SELECT doc_id, grp, CASE WHEN joins THEN chunk ELSE chunk + 1 END, CASE WHEN joins THEN size + own ELSE own END
+          FROM (SELECT o.doc_id, q.grp, o.chunk, o.size, q.size AS own, q.size < 80 AND NOT q.head AND o.size + q.size <= 400 AS joins
+                FROM o JOIN q ON q.doc_id = o.doc_id AND q.grp = o.grp + 1))
+    SELECT doc_id, chunk AS chunk_id, count(*) AS lines, md5(string_agg(t, chr(10) ORDER BY i)) AS text_md5 FROM s JOIN g USING (doc_id, i) JOIN o USING (doc_id, grp) GROUP BY ALL""",
+)
+def chunk_lines(spark, d):
+    """Chunks of whole documents packed from their lines."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("sent_id", "text")).filter(F.trim("text") != "")
+    found = doc.chunks(lines.select("text_id", "sent_id", F.lit(0).alias("begin"), F.lit(0).alias("end"), "text"))
+    return found.select(
+        F.col("text_id").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), (F.size(F.split("text", "\n"))).cast("long").alias("lines"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
