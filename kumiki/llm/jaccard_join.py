@@ -299,9 +299,16 @@ def row_components(
     # Tokens of a prefix that are in no other one.
     single = (F.col("sig").bitwiseAND(F.lit(1)) == 0).cast("int")
     held = sigs.filter("sig IS NULL").groupBy("id").agg(F.max("singles").alias("singles"), F.max("whole").alias("whole"))
-    shared = members.groupBy("id").agg(F.sum(single).alias("shared"))
+    shared = members.groupBy("id").agg(F.sum(single).alias("shared"), F.count(F.lit(1)).alias("meets"))
+
+    def spare_of(size):
+        """Signatures beyond the first that a pair shares whose smaller set has this size."""
+        return F.floor((size - F.floor((percent * size + 99) / 100)) / SPARE)
+
     sized = classes.select("id", F.col("n").cast("int").alias("n"), *BITS).join(shared, "id").join(held, "id")
-    sized = sized.withColumn("dead", (F.col("singles") - F.col("shared")).cast("int")).drop("singles", "shared")
+    sized = sized.withColumn("dead", (F.col("singles") - F.col("shared")).cast("int"))
+    # A set that shares fewer signatures with all others together than with a partner can't have one.
+    sized = sized.filter(F.col("meets") > spare_of(F.ceil(percent * F.col("n") / 100))).drop("singles", "shared", "meets")
     sized = written(sized, "sizes")
     dropped(sigs)
 
@@ -325,7 +332,7 @@ def row_components(
     )
     bits_fit = differ <= total - 2 * overlap
     least = F.least("na", "nb")
-    spare = F.floor((least - F.floor((percent * least + 99) / 100)) / SPARE)
+    spare = spare_of(least)
 
     def sets_of(asked: DataFrame, name: str) -> DataFrame:
         """The columns of asked, with the set of the class that name holds, made from the text of its first document."""
@@ -357,6 +364,14 @@ def row_components(
             return part.withColumn(label, F.col(name))
         return part.join(labels.toDF(name, label), name, "left").withColumn(label, F.coalesce(label, name))
 
+    def compared(pairs: DataFrame) -> None:
+        """Compares pairs, and takes the links between components that are new into the labels."""
+        nonlocal done, labels
+        more = linked(pairs)
+        done = more if done is None else done.unionByName(more)
+        if labels is None or not more.filter("linked").isEmpty():
+            labels = bounded(components(done.filter("linked")).select("node", "label"))
+
     for turn in range(rounds):
         named = labelled(open_)
         lead = F.min(F.struct((F.col("dead") / F.col("n")).alias("share"), "id", "n", "dead", "whole"))
@@ -378,17 +393,19 @@ def row_components(
         left = left.withColumn("compare", F.expr("label <> center_label") & sizes_fit)
         left = released(written(left.select(*columns, "center", F.col("nb").alias("center_n"), "compare"), "open"))
         dropped(before)
-        pairs = left.filter("compare").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-        pairs = pairs.join(bits("a"), "a").join(bits("b"), "b").filter(bits_fit).select("a", "b")
+        pairs = left.filter("compare").groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        pairs = pairs.join(bits("a"), "a").join(bits("b"), "b").filter(bits_fit).select("a", "b", "shared")
         pairs = written(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        more = linked(pairs)
+        # First the leader that shares most signatures; the others only where they are still in other components.
+        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+        compared(best)
+        rest = pairs.select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+        rest = labelled(labelled(rest, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b")
+        compared(rest)
         dropped(pairs)
-        done = more if done is None else done.unionByName(more)
-        if labels is None or not more.filter("linked").isEmpty():
-            labels = bounded(components(done.filter("linked")).select("node", "label"))
         stay = left.filter("id <> center")
         if not turn:  # how many tokens a member and its group's first leader differ by, where that has been counted
-            measured = more.select(F.col("a").alias("id"), F.col("b").alias("center"), "both")
+            measured = done.select(F.col("a").alias("id"), F.col("b").alias("center"), "both")
             stay = stay.join(bounded(measured), ["id", "center"], "left")
             stay = stay.withColumn("far", (F.col("n") + F.col("center_n") - 2 * F.col("both")).cast("int"))
         open_ = before = released(written(stay.select(columns), "open"))
