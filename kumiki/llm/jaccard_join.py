@@ -22,16 +22,18 @@ group takes as leader the member with the smallest share of tokens of its own (f
 text they stem from), compares it with the members of other components, merges what is linked, and retires the leader.
 Before each round a member leaves a group where the sizes and own tokens of the others rule all of them out, and a
 group of one component is done, so that groups of near copies cost about as many comparisons as they have members.
-What is still apart after ``rounds`` rounds is paired within its group, where sizes, own tokens, parity bitmaps and the
-number of shared signatures rule pairs out as they are formed. No link is lost at any step: a bound only drops pairs
-that can't be linked. Comparisons use the whole sets.
+What is still apart after ``rounds`` rounds is paired within its group, where sizes, own tokens and parity bitmaps rule
+pairs out as they are formed, and the number of shared signatures does afterwards. Signatures that the same sets share
+are one group, and a member looks for partners in its smallest groups only, as many as the number of signatures that a
+pair must share leaves. No link is lost at any step: a bound only drops pairs that can't be linked. Comparisons use the
+whole sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kumiki.llm.components import components
@@ -292,14 +294,20 @@ def row_components(
         lambda it: trimmed(signature_rows(it, k, prefixes.value, odd)), "sig long, id long, whole boolean, singles int"
     )
     sigs = released(written(sigs, "signatures"))
-    shared_by = sigs.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("x"), F.max("id").alias("y"))
-    members = sigs.select("sig", "id").join(shared_by.filter("x < y").select("sig"), "sig").distinct()
+    # What is told of a group is told to its members where they are: a window shuffles them once, on tables of any size.
+    group = Window.partitionBy("sig")
+    members = sigs.filter("sig IS NOT NULL").select("sig", "id", F.min("id").over(group).alias("x"), F.max("id").over(group).alias("y"))
+    members = members.filter("x < y").select("sig", "id").distinct()
+    # Signatures that the same sets share are one group of their weight, so that texts with much in common meet once. Groups
+    # that get one name by chance are one group as well, in which more pairs may be compared.
+    same = F.xxhash64(F.bit_xor(F.xxhash64("id")).over(group)).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("sig").bitwiseAND(F.lit(1)))
+    members = members.select(same.alias("sig"), "id").groupBy("sig", "id").agg(F.count(F.lit(1)).cast("int").alias("weight"))
     members = released(written(members, "members"))
 
     # Tokens of a prefix that are in no other one.
     single = (F.col("sig").bitwiseAND(F.lit(1)) == 0).cast("int")
     held = sigs.filter("sig IS NULL").groupBy("id").agg(F.max("singles").alias("singles"), F.max("whole").alias("whole"))
-    shared = members.groupBy("id").agg(F.sum(single).alias("shared"), F.count(F.lit(1)).alias("meets"))
+    shared = members.groupBy("id").agg(F.sum(single * F.col("weight")).alias("shared"), F.sum("weight").alias("meets"))
 
     def spare_of(size):
         """Signatures beyond the first that a pair shares whose smaller set has this size."""
@@ -374,26 +382,28 @@ def row_components(
 
     for turn in range(rounds):
         named = labelled(open_)
-        lead = F.min(F.struct((F.col("dead") / F.col("n")).alias("share"), "id", "n", "dead", "whole"))
-        groups = named.groupBy("sig").agg(
-            F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("low"), F.min("whole").alias("all_whole"),
-            F.max(top).alias("far_top"), F.max(reach).alias("far_reach"), lead.alias("lead"),
-        )
-        groups = groups.filter("x <> y").select("sig", "low", "all_whole", "far_top", "far_reach", F.col("lead.id").alias("center"), F.col("lead").alias("lead"))
-        groups = labelled(groups, "center", "center_label")
+        lead = F.min(F.struct((F.col("dead") / F.col("n")).alias("share"), "id", "n", "dead", "whole", "label")).over(group)
+        told = {
+            "x": F.min("label"), "y": F.max("label"), "low": F.min("n"), "all_whole": F.min("whole"),
+            "far_top": F.max(top), "far_reach": F.max(reach),
+        }
+        left = named.withColumns({**{name: c.over(group) for name, c in told.items()}, "lead": lead}).filter("x <> y")
+        left = left.withColumns({"center": F.col("lead.id"), "center_label": F.col("lead.label")})
         own = F.when(F.col("all_whole"), top).otherwise(reach)
         theirs = F.when(F.col("all_whole"), F.col("far_top")).otherwise(F.col("far_reach"))
-        left = named.join(groups, "sig").filter((own >= F.col("low")) & (theirs >= F.col("n")))
+        left = left.filter((own >= F.col("low")) & (theirs >= F.col("n")))
         if turn:  # the leader's component needs only those that can be linked with a member of another one
-            alien = left.filter("label <> center_label").groupBy("sig").agg(F.min("n").alias("alien_low"), F.max(own).alias("alien_far"))
+            alien = F.expr("label <> center_label")
+            told = {"alien_low": F.min(F.when(alien, F.col("n"))), "alien_far": F.max(F.when(alien, own))}
             near = (own >= F.col("alien_low")) & (F.col("alien_far") >= F.col("n"))
-            left = left.join(alien, "sig").filter(near | F.expr("label <> center_label"))
+            left = left.withColumns({name: c.over(group) for name, c in told.items()})
+            left = left.filter(F.col("alien_low").isNotNull() & (near | alien))
         both = {"na": "n", "deada": "dead", "wholea": "whole", "nb": "lead.n", "deadb": "lead.dead", "wholeb": "lead.whole"}
         left = left.withColumns({name: F.col(c) for name, c in both.items()})
         left = left.withColumn("compare", F.expr("label <> center_label") & sizes_fit)
         left = released(written(left.select(*columns, "center", F.col("nb").alias("center_n"), "compare"), "open"))
         dropped(before)
-        pairs = left.filter("compare").groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        pairs = left.filter("compare").groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.sum("weight").alias("shared"))
         pairs = pairs.join(bits("a"), "a").join(bits("b"), "b").filter(bits_fit).select("a", "b", "shared")
         pairs = written(pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         # First the leader that shares most signatures; the others only where they are still in other components.
@@ -411,21 +421,33 @@ def row_components(
         open_ = before = released(written(stay.select(columns), "open"))
         dropped(left)
     # What pairs of a group are still in different components and haven't been compared.
-    open_ = labelled(open_.select("sig", "id", "far"))
-    mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    rest = released(written(open_.join(mixed, "sig", "left_semi"), "rest"))
+    open_ = labelled(open_.select("sig", "id", "weight", "far"))
+    told = {"x": F.min("label"), "y": F.max("label"), "size": F.count(F.lit(1))}
+    rest = open_.withColumns({name: c.over(group) for name, c in told.items()}).filter("x <> y").drop("x", "y")
+    rest = released(written(rest, "rest"))
     dropped(before)
-    rest = rest.join(sized, "id")
+    # A pair shares so many signatures that its smallest group is not among the largest few of either member: in the order
+    # of sizes each member looks for partners in the groups before those alone.
+    fewest = spare_of(F.ceil(percent * F.col("n") / 100)) + 1
+    by_size = Window.partitionBy("id").orderBy("size", "sig").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    told = {"ahead": F.sum("weight").over(by_size), "meets": F.sum("weight").over(Window.partitionBy("id"))}
+    rest = rest.join(bounded(sized.drop(*BITS)), "id").withColumns(told).filter(F.col("meets") >= fewest)
+    rest = written(rest.withColumn("first", F.col("ahead") >= fewest).drop("ahead", "meets", "size"), "rest")
+    held = rest.groupBy("id").agg(F.collect_list(F.struct("sig", "weight")).alias("held"))
+    heads = rest.filter("first").drop("first", "weight").join(sized.select("id", *BITS), "id")
 
     def half(name: str) -> DataFrame:
-        return rest.select("sig", *(F.col(c).alias(f"{c}{name}" if c != "id" else name) for c in rest.columns if c != "sig"))
+        return heads.select("sig", *(F.col(c).alias(f"{c}{name}" if c != "id" else name) for c in heads.columns if c != "sig"))
 
     # Of the tokens by which two sets differ from a third, those of their own can't be among what they share.
     apart = F.col("fara") + F.col("farb") - 2 * F.least(F.col("fara") - F.col("deada"), F.col("farb") - F.col("deadb"))
     close = ~(F.col("wholea") & F.col("wholeb")) | F.coalesce(apart <= total - 2 * overlap, F.lit(True))
     both = half("a").join(half("b"), "sig").filter((F.col("a") > F.col("b")) & (F.col("labela") != F.col("labelb")) & close & sizes_fit & bits_fit)
-    crossing = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.first(spare).alias("spare"))
-    crossing = written(crossing.filter("count > spare").select("a", "b"), "crossing")
+    crossing = written(both.select("a", "b", spare.alias("spare")).distinct(), "crossing")
+    for name in "ab":
+        crossing = crossing.join(held.toDF(name, f"held{name}"), name)
+    shared = F.expr("aggregate(filter(helda, x -> array_contains(heldb.sig, x.sig)), 0L, (s, x) -> s + x.weight)")
+    crossing = crossing.filter(shared > F.col("spare")).select("a", "b")
     known = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     crossing = written(crossing.join(known, ["a", "b"], "left_anti"), "crossing")
     more = None if crossing.isEmpty() else linked(crossing).filter("linked")

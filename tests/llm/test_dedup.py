@@ -97,6 +97,31 @@ def test_jaccard_components(docs_of, monkeypatch, k, percent, frequent):
     assert [r.component_id for r in found if r.doc_id is None] == [None]
 
 
+def test_jaccard_pairs_with_much_in_common_meet_few_times(docs_of, monkeypatch):
+    """Texts that share most of their signatures but no link: they meet in a few groups, not in each signature they share."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for _ in range(6):
+        passage = [word() for _ in range(400)]
+        for _ in range(5):
+            rows.append((len(rows), " ".join(passage + [word() for _ in range(rng.choice((60, 110)))]), None, None, None))
+    held = {}
+    monkeypatch.setattr(jj, "written", lambda df, name, write=jj.written: held.setdefault(name, write(df, name)) if name == "members" else write(df, name))
+    monkeypatch.setattr(jj, "dropped", lambda *tables: None)
+    found = jj.jaccard_components(docs_of(rows), k=3, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows, 3, 80)
+    members = held["members"]
+    assert 0 < members.count() <= 2 ** 5 * len(rows) / 2
+
+
+def test_jaccard_components_after_one_round(docs_of):
+    """With fewer rounds of leaders more is left to the pairing of open members, which must find every link."""
+    rows = corpus(8)
+    found = jj.jaccard_components(docs_of(rows), k=3, percent=80, rounds=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows, 3, 80)
+
+
 def test_one_of_each_keeps_columns(docs_of):
     d = docs_of([(1, "a b c d", "en", "s", 1), (2, "A B c d", "en", "s", 1), (3, "x y", None, None, None), (4, None, None, None, None)])
     kept = jj.one_of_each(d, k=3, percent=90)
