@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kumiki.llm import decontaminate, exact_dedup, jaccard_join, toxicity
 from kumiki.llm.bpe import bpe
 from kumiki.llm.queries import tokenizer_file
-from kumiki.llm.shared import table, written
+from kumiki.llm.shared import released, table, written
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, one after another."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = released(written(stage(spark, docs, sf_dir), f"stage-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,7 +84,8 @@ def released(df: DataFrame) -> DataFrame:
 
 
 def trim_memory() -> None:
-    """Gives this process's freed memory back to the system, where the C library can."""
+    """Gives this process's freed memory back to the system: that of Arrow's pool, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
