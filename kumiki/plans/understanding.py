@@ -88,13 +88,14 @@ def rerank_features_topk(spark, d):
         F.when(F.col("item_id") % 2 == 0, F.array(F.lit("FY2026"))).otherwise(none).alias("times"), F.lit(None).cast("string").alias("sentiment"),
         F.when(kind == 1, "DATE").when(kind == 2, "PERSON").alias("answer_type"),
     )
-    y = table(spark, d, "documents").select(
+    top = retrieval.ranking(spark, d, 20)[0].select("query_id", "doc_id")
+    held = table(spark, d, "documents").join(r.few(top.select("doc_id").distinct()), "doc_id", "left_semi")  # texts that are looked at
+    y = held.select(
         "doc_id", F.array_distinct(retrieval.words("text")).alias("c_keywords"), none.alias("c_topics"), none.alias("c_entities"), F.lit("x").alias("c_sentiment"),
         F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("2026-05-01"))).otherwise(F.array(F.lit("2025"))).alias("c_times"),
         F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("TIME"))).otherwise(F.array(F.lit("PERSON"))).alias("c_types"),
     )
-    top = r.top_k(retrieval.ranking(spark, d), 20).select("query_id", "doc_id")
-    out = q.rerank_features(top.join(x, "query_id").join(y, "doc_id"))
+    out = q.rerank_features(r.few(top).join(x, "query_id").join(y, "doc_id"))
     return out.select("query_id", "doc_id", F.round("keyword_overlap", 6).alias("keyword_overlap"), "time_match", "intent_match")
 
 
